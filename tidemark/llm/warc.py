@@ -198,7 +198,8 @@ def read_warc(archives: DataFrame, split: int = SPLIT) -> DataFrame:
     """
     ranges = archives.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
     ranges = ranges.withColumn("end", F.col("start") + split)
-    return ranges.repartition("path", "start").mapInArrow(_reader, RECORDS)
+    n = archives.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1  # ranges; a fixed number of tasks, as the rows are too few to size them by
+    return ranges.repartition(int(n), "path", "start").mapInArrow(_reader, RECORDS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
