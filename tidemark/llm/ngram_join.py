@@ -53,24 +53,15 @@ def _seeds(bands: int, rows: int) -> np.ndarray:
     return np.random.default_rng(11).integers(1, 1 << 63, bands * rows, dtype=np.uint64)
 
 
-def _signatures(n):
+def _signatures(n, bands, rows):
     def run(batches):
+        seeds = _seeds(bands, rows)
         for b in one_batch(batches):
             sets = shingle_sets(b["text"], n)
             pair = [(int(s.sum()), int(mix(s).sum())) if len(s) else (0, 0) for s in sets]
             h = np.array(pair, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["id", "n", "h1", "h2"])
-
-    return run
-
-
-def _bands(n, bands, rows):
-    def run(batches):
-        seeds = _seeds(bands, rows)
-        for b in one_batch(batches):
-            keys = [minhash_bands(s, seeds, rows) for s in shingle_sets(b["text"], n)]
-            rep = np.repeat(b["id"].to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(rep)], ["key", "rep"])
+            keys = pa.array([minhash_bands(s, seeds, rows) if len(s) else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), keys], ["id", "n", "h1", "h2", "bands"])
 
     return run
 
@@ -200,13 +191,9 @@ def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tupl
     document of the graph: what links with one of them links with all. An empty table gives an empty result; other columns are ignored.
     """
     rows_in = docs.select(doc_key().alias("id"), F.col("text").cast("string").alias("text"))
-    sigs = scratch.write(rows_in.mapInArrow(_signatures(n), "id long, n long, h1 long, h2 long"), "signatures")
-    classes = sigs.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    classes = scratch.write(classes, "classes")
-
-    # texts of representatives; several classes of one id (repeated ids) keep all its texts
-    texts = rows_in.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    keys = scratch.write(texts.mapInArrow(_filled(_bands(n, bands, rows)), "key long, rep long"), "bands")
+    sigs = scratch.write(rows_in.mapInArrow(_signatures(n, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
+    classes = scratch.write(sigs.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
+    keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least <> most").select("key", "least")
     close = keys.join(shared, "key").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     clusters = scratch.write(components(close, scratch, "candidates"), "clusters")
@@ -214,12 +201,13 @@ def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tupl
     blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     placed = clusters.join(blocks, "component").withColumn("side", F.pmod(F.xxhash64("id"), "nb").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("id", F.col("component").alias("cluster"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
-    members = rows_in.join(placed, "id").mapInArrow(_filled(_members(n)), "cluster long, i int, j int, side int, rep long, set binary")
+    # texts are dealt out by id at every size: what is in a cluster grows with the corpus
+    members = rows_in.join(placed.hint("merge"), "id").mapInArrow(_filled(_members(n)), "cluster long, i int, j int, side int, rep long, set binary")
     members = members.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = scratch.write(members.mapInArrow(_joiner(share), "a long, b long"), "links")
     groups = components(links, scratch, "links")
-    found = classes.join(groups, F.col("rep") == F.col("id"), "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = sigs.join(found, ["n", "h1", "h2"], "left")
+    found = classes.drop("bands").join(groups, F.col("rep") == F.col("id"), "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
+    out = sigs.drop("bands").join(found, ["n", "h1", "h2"], "left")
     return out.select(_null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), _null(F.coalesce("component", "id")).alias("component_id"))
 
 
