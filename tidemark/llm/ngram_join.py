@@ -205,10 +205,13 @@ def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tupl
     members = rows_in.join(placed.hint("merge"), "id").mapInArrow(_filled(_members(n)), "cluster long, i int, j int, side int, rep long, set binary")
     members = members.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = scratch.write(members.mapInArrow(_joiner(share), "a long, b long"), "links")
-    groups = components(links, scratch, "links")
-    found = classes.drop("bands").join(groups, F.col("rep") == F.col("id"), "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = sigs.drop("bands").join(found, ["n", "h1", "h2"], "left")
-    return out.select(_null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), _null(F.coalesce("component", "id")).alias("component_id"))
+    member = sigs.select("id", "n", "h1", "h2").join(classes.drop("bands"), ["n", "h1", "h2"], "left").select("id", "n", "rep")
+    member = scratch.write(member, "members")
+    several = member.filter(F.col("id") != LAST).groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least <> most")
+    same_id = member.join(several, "id").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    groups = components(links.unionByName(same_id), scratch, "links")
+    out = member.join(groups.withColumnRenamed("id", "_id"), F.col("rep") == F.col("_id"), "left")
+    return out.select(_null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), _null(F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
 def _null(c):
