@@ -91,5 +91,12 @@ def one_batch(batches):
     return (b for b in batches if b.num_rows)
 
 
+def portions(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20):
+    """The batch in slices of about `size` bytes of a text column, so that what is computed for each word stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi > lo)
+
+
 def doc_key(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(LAST))

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, doc_key, gram_hashes, mix, one_batch, table, word_hashes
+from tidemark.llm.common import Scratch, doc_key, gram_hashes, mix, one_batch, portions, table, word_hashes
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 20, 6
 #: Distinct contents of one anchor that one index holds together, and symbols from which on an index is closed.
-CONTENTS, SYMBOLS = 4096, 1 << 20
+CONTENTS, SYMBOLS = 4096, 1 << 19
 _N_BITS, _S_BITS, _T_BITS = 4, 31, 28
 _TIE = (1 << _T_BITS) - 1
 
@@ -148,7 +148,12 @@ def _pack(tie, start, n):
 def _find(batches):
     for b in one_batch(batches):
         ids, ties = b["id"].to_numpy(), b["tie"].to_numpy()
-        text, start, n, anchor, content = anchored_runs(*word_hashes(b["text"]))
+        parts, done = [], 0
+        for part in portions(b):
+            text, *rest = anchored_runs(*word_hashes(part["text"]))
+            parts.append((text + done, *rest))
+            done += part.num_rows
+        text, start, n, anchor, content = map(np.concatenate, zip(*parts, strict=True))
         if not len(text):
             continue
         doc, packed = ids[text], _pack(ties[text], start, n)
@@ -213,7 +218,7 @@ def _decide(contents):
 
 def _cut_out(batches):
     """The symbols of each probe, from its document's text."""
-    for b in one_batch(batches):
+    for b in (part for batch in one_batch(batches) for part in portions(batch)):
         words, at = word_hashes(b["text"])
         probes = b["probes"]
         flat, sizes = probes.flatten(), np.diff(probes.offsets.to_numpy())
