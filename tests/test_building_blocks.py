@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import scores, text
+from tidemark.functions import scores, search, text
 from tidemark.operators import dedup, keyed
 from tidemark.plans import catalogue
 from tidemark.sources.feeds import parse_feed
@@ -41,6 +41,14 @@ def test_text_functions(spark):
     assert len(row.summary) <= 400 and row.summary.endswith(".")
 
 
+def test_search(spark):
+    assert search.parse_query('"open source" -beta or kernel') == [[(True, "open source"), (False, "beta")], [(True, "kernel")]]
+    docs = spark.createDataFrame([(1, "Open-source tools, final"), (2, "open source beta"), (3, "Kernel beta"), (4, None), (5, "")], "id int, text string")
+    found = lambda q: [r.id for r in docs.filter(search.matches(F.col("text"), q)).orderBy("id").collect()]
+    assert found('"open source" -beta or kernel') == [1, 3] and found("beta") == [2, 3] and found("-beta") == [1, 4, 5] and found(' "" ') == []
+    assert spark.range(1).select(search.suggestions(F.lit("Kernel"), "kernle"), search.suggestions(F.lit("python"), "kernle")).first()[:] == (2, None)
+
+
 def test_scores(spark):
     r = spark.range(1).select(scores.niche(F.lit(1)), scores.niche(F.lit(20)), scores.tier(F.lit(9), F.lit(0.0), F.lit(0.0)), scores.composite([(F.lit(None).cast("double"), 0.5), (F.lit(4.0), 0.2)]), scores.backoff(F.lit(60.0), F.lit(9)), scores.health(F.lit(11))).first()
     assert r[0] == 1.0 and r[1] == 0.0 and r[2:] == ("critical", 4.0, 3840.0, "failing")

@@ -1 +1,3 @@
+"""Importing this package registers every query in `catalogue.QUERIES` and `catalogue.SQL`."""
 
+from tidemark.plans import analytics, catalogue  # noqa: F401
