@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores, search, text
-from tidemark.operators import dedup, keyed
+from tidemark.operators import dedup, keyed, tagging
 from tidemark.plans import catalogue
 from tidemark.sources.feeds import parse_feed
 from tidemark.streaming import ledger
@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 import os
 
 glob = lambda t: f"{SF}/{t}.parquet" + "/*" * os.path.isdir(f"{SF}/{t}.parquet")
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels".split()
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
@@ -60,6 +60,18 @@ def test_near_duplicates(spark):
     assert [(r.id, r.other, r.outcome) for r in dedup.near_pairs(stories).filter("outcome <> 'reject'").collect()] == [(1, 2, "auto")]
 
 
+def test_tagging(spark):
+    docs = spark.createDataFrame([(1, "Spark spark, kafka; flink"), (2, None), (3, ""), (4, "nothing here")], "id int, text string")
+    names = spark.createDataFrame([("Spark", "s"), ("kafka", "k"), ("flink", "f"), ("flink", "f"), (None, "n"), ("nothing here", "x")], "alias string, slug string")
+    assert sorted(map(tuple, tagging.tag_aliases(docs, names, most=2).collect())) == [(1, "f", 1), (1, "s", 2)]
+
+
+def test_capped_top(spark):
+    rows = spark.createDataFrame([("g", s, i) for i, s in enumerate("aaabbc")], "field string, source string, id int")
+    kept = tagging.capped_top(rows, "field", "source", ["id"], per_source=2, most=4).orderBy("place").collect()
+    assert [r.id for r in kept] == [0, 1, 3, 4]
+
+
 def test_claims(spark):
     owners, live = spark.createDataFrame([("x", 1), ("y", 2)], "key string, owner long"), spark.createDataFrame([(1,)], "owner long")
     claims = spark.createDataFrame([("x", 7), ("y", 9), ("y", 8), ("z", 5)], "key string, owner long")

@@ -8,8 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores, search, text
-from tidemark.operators import keyed
-from tidemark.plans.catalogue import _TAGGED, _t, _tagged, query
+from tidemark.operators import keyed, tagging
+from tidemark.plans.catalogue import _TAGGED, QUERIES, SQL, _t, _tagged, query
+from tidemark.streaming import ledger
 
 _PLAIN = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
@@ -193,3 +194,66 @@ def v11_free_slugs(spark, d):
     base = F.replace(F.lower("p_name"), F.lit(" "), F.lit("-"))
     n = F.row_number().over(Window.partitionBy("base").orderBy("p_partkey"))
     return _t(spark, d, "part").select("p_partkey", base.alias("base")).withColumn("n", n).select("p_partkey", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n")).alias("slug"))
+
+
+@query(f"WITH v AS (SELECT DISTINCT unnest(string_split({_PLAIN}, ' ')) AS alias FROM benchmark), k AS (SELECT alias, substr(alias, 1, 6) AS slug FROM v WHERE length(alias) > 5), w AS (SELECT doc_id, unnest(string_split({_PLAIN}, ' ')) AS alias FROM documents), n AS (SELECT doc_id, slug, count(*) AS hits FROM w JOIN k USING (alias) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, slug) AS place FROM n) SELECT doc_id, slug, hits FROM r WHERE place <= 8")
+def c8_alias_tags(spark, d):
+    """The words of `benchmark` with over five letters are the vocabulary, their first six letters the slug."""
+    words = _t(spark, d, "benchmark").select(F.explode(F.split(text.compare_form(F.col("text")), " ")).alias("alias")).filter("length(alias) > 5")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return tagging.tag_aliases(docs, words.select("alias", F.substring("alias", 1, 6).alias("slug"))).withColumnRenamed("id", "doc_id")
+
+
+@query("WITH a AS (SELECT n_regionkey AS field, o_custkey AS source, o_orderkey AS story, o_totalprice AS weight FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), b AS (SELECT *, row_number() OVER (PARTITION BY field, source ORDER BY weight DESC, story) AS n FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY weight DESC, story) AS place FROM b WHERE n <= 4) SELECT field, source, story, weight, place FROM c WHERE place <= 40")
+def o9_capped_top(spark, d):
+    """Forty stories a field, four of a source at most: the limit is the feature."""
+    fields = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("field"))
+    rows = _t(spark, d, "orders").join(fields, F.col("o_custkey") == F.col("c_custkey")).select("field", F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("story"), F.col("o_totalprice").alias("weight"))
+    return tagging.capped_top(rows, "field", "source", [F.desc("weight"), "story"])
+
+
+@query(f"SELECT member AS slug, string_agg(root, '/' ORDER BY depth DESC) AS path FROM ({SQL['c13_closure']}) GROUP BY 1")
+def v6_ancestry(spark, d):
+    up = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("above"), "root")))
+    return QUERIES["c13_closure"](spark, d).groupBy(F.col("member").alias("slug")).agg(F.array_join(F.transform(up, lambda x: x["root"]), "/").alias("path"))
+
+
+@query("SELECT l_orderkey AS story, string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_shipdate, l_linenumber, l_suppkey) AS curve FROM lineitem GROUP BY 1")
+def a7_coverage_curve(spark, d):
+    steps = F.array_sort(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_suppkey")))
+    return _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("story")).agg(F.array_join(F.transform(steps, lambda x: x["l_suppkey"].cast("string")), ",").alias("curve"))
+
+
+@query("SELECT name, grade FROM (SELECT DISTINCT p_name AS name, CASE WHEN p_name = 'red ring' THEN 0 WHEN starts_with(p_name, 'red') THEN 1 WHEN contains(p_name, 'ring') THEN 3 END AS grade FROM part) WHERE grade IS NOT NULL")
+def q19_suggest(spark, d):
+    grade = F.when(F.col("name") == "red ring", 0).when(F.col("name").startswith("red"), 1).when(F.col("name").contains("ring"), 3)
+    return _t(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("grade", grade).filter("grade IS NOT NULL")
+
+
+@query(f"WITH p AS ({SQL['q3_tag_pairs'].replace('SELECT * REPLACE (month::VARCHAR AS month) FROM', 'SELECT * FROM')}), e AS (SELECT a, b, together FROM p UNION ALL SELECT b, a, together FROM p) SELECT a AS tag, b AS other, sum(together)::BIGINT AS together FROM e GROUP BY 1, 2")
+def u3_related_tags(spark, d):
+    """Pairs are summed over the months before both directions of each are read."""
+    pairs = QUERIES["q3_tag_pairs"](spark, d).groupBy("a", "b").agg(F.sum("together").alias("together"))
+    return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("tag"), F.col("b").alias("other")), F.struct(F.col("b").alias("tag"), F.col("a").alias("other")))).alias("e"), "together").select("e.tag", "e.other", "together")
+
+
+@query("SELECT doc_id, round((coalesce(quality * 50, 0) + coalesce(toxic * 30, 0) + least(n_chars, 1000) * 0.02::DOUBLE) / (0.2::DOUBLE + CASE WHEN quality IS NULL THEN 0 ELSE 0.5::DOUBLE END + CASE WHEN toxic IS NULL THEN 0 ELSE 0.3::DOUBLE END), 6) AS score FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL")
+def m5_composite(spark, d):
+    """A weighted mean over the dimensions that are known: a document without labels is not scored as if they were zero."""
+    rows = _t(spark, d, "documents").select("doc_id", "n_chars").filter("n_chars IS NOT NULL").join(_t(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    size = F.least("n_chars", F.lit(1000)) / 10
+    return rows.select("doc_id", F.round(scores.composite([(F.col("quality") * 100, 0.5), (F.col("toxic") * 100, 0.3), (size, 0.2)]), 6).alias("score"))
+
+
+@query("SELECT ts < TIMESTAMP '2024-01-10' AS late, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def z2_late_rows(spark, d):
+    """What comes too late stays countable beside what is kept."""
+    kept, dropped = ledger.split_late(_t(spark, d, "events"), "2024-01-10")
+    count = lambda f, late: f.groupBy(F.lit(late).alias("late"), "event_type").agg(F.count("*").alias("n"))
+    return count(kept, False).unionByName(count(dropped, True))
+
+
+@query("SELECT user_id, event_type AS latest, ts, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r = 1")
+def q28_latest_state(spark, d):
+    latest = F.max(F.struct("ts", "event_id", "event_type")).alias("x")
+    return _t(spark, d, "events").groupBy("user_id").agg(latest, F.count("*").alias("n")).select("user_id", F.col("x.event_type").alias("latest"), F.col("x.ts").alias("ts"), "n")
