@@ -67,3 +67,34 @@ def summary(text: Column, most: int = 400) -> Column:
     cut = F.substring(text, 1, most)
     end = F.length(F.regexp_extract(cut, r"(?s)^(.*[.!?])", 1))
     return F.when(F.length(text) <= most, text).when(end > most * 0.6, F.substring(cut, F.lit(1), end)).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…")))
+
+
+def shingles(text: Column, size: int = 3) -> Column:
+    """Runs of `size` words of the comparable form, in order and with repeats; a shorter text is one shingle, an empty one none."""
+    words = F.filter(F.split(compare_form(text), " "), lambda w: w != "")
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+    return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) < size, F.array(F.array_join(words, " "))).otherwise(runs)
+
+
+def slug(name: Column) -> Column:
+    """Lower case and hyphens, without a trailing version; letters beyond ASCII become hyphens unless they have a plain form in the table."""
+    plain = F.translate(F.lower(name), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    unversioned = F.regexp_replace(plain, r"\s+v?\d+(\.\d+)*([-.][a-z0-9]+)*\s*$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(unversioned, "['’]", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def normal_term(raw: Column) -> Column:
+    """The key that two spellings of a name share."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(raw), r"[\s_]+", "-"), "[^a-z0-9.+#-]", ""), "^-+|-+$", "")
+
+
+#: Shapes of words that may be the name of a product.
+NAME_SHAPES = [r"^[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*$", r"(?i)^[A-Za-z][A-Za-z0-9-]*\.(js|ts|io|sh|dev|ai|rs|py|go)$", "^[A-Za-z][A-Za-z0-9-]*(DB|QL|SQL|Kit|Lang|Script|Stack|Hub|Flow)$", r"^[a-z]\d[a-z]{1,4}$"]
+
+
+def candidate_terms(title: Column, common: list[str]) -> Column:
+    """Distinct words of a title that look like product names and are not among the `common` ones."""
+    words = F.split(F.regexp_replace(title, r"https?://\S+", " "), r"[\s,;:!?()\[\]{}\"'“”‘’|]+")
+    bare = F.transform(words, lambda w: F.regexp_replace(w, "^[^A-Za-z0-9]+|[^A-Za-z0-9.+#]+$", ""))
+    named = lambda w: F.length(w).between(3, 28) & ~F.lower(w).isin(common) & ~w.rlike(r"(?i)^v?\d") & w.rlike("|".join(f"(?:{s})" for s in NAME_SHAPES))
+    return F.array_distinct(F.filter(bare, named))
