@@ -71,6 +71,32 @@ def test_embeddings(spark):
     assert embedding_dedup.link_embeddings(df.limit(0), Scratch(spark, "t1")).count() == 0
 
 
+def test_embedding_chains(spark):
+    """Links that form no clique: each vector of an arc links with its neighbours only, and ids jump along it."""
+    steps = np.deg2rad(15) * np.arange(12)
+    arc = np.zeros((12, 16))
+    arc[:, 3], arc[:, 8] = np.cos(steps), np.sin(steps)
+    ids = [7, 11, 2, 9, 12, 4, 10, 1, 8, 5, 6, 3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, arc)], "vec_id long, embedding array<double>")
+    for chunk in (2048, 3):
+        got = {r.vec_id: r for r in embedding_dedup.link_embeddings(df, Scratch(spark, "t1c"), chunk=chunk, tables=96).collect()}
+        assert [got[i].n_links for i in ids] == [1] + [2] * 10 + [1]
+        assert {r.component_id for r in got.values()} == {1} and [i for i in got if got[i].kept] == [1]
+
+
+def test_least_reachable():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        n = rng.integers(2, 30)
+        ids, e = rng.permutation(1000)[:n], rng.integers(0, n, (rng.integers(1, 30), 2))
+        a, b = np.concatenate([e[:, 0], e[:, 1]]), np.concatenate([e[:, 1], e[:, 0]])
+        want = list(ids)
+        for _ in range(n):
+            for x, y in zip(a, b):
+                want[x] = want[y] = min(want[x], want[y])
+        assert embedding_dedup._least_reachable(ids, a, b).tolist() == want
+
+
 # --- 2
 
 

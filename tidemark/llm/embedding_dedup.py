@@ -66,6 +66,21 @@ def _runs(batches, columns):
         yield rest, np.stack([rest[c].to_numpy() for c in columns])
 
 
+def _least_reachable(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest id that links (a, b), given both ways, lead to from each row; a chain of links stays one piece."""
+    order = np.argsort(ids, kind="stable")
+    root = np.empty(len(ids), np.int64)
+    root[order] = np.arange(len(ids))
+    while True:
+        lower = root.copy()
+        np.minimum.at(lower, a, root[b])
+        # a row points at the row of its root's rank: jumping there halves the length of a chain
+        lower = np.minimum(lower, lower[order[lower]])
+        if (lower == root).all():
+            return ids[order[root]]
+        root = lower
+
+
 def _linker(threshold):
     def run(batches):
         for t, keys in _runs(batches, ("t", "key", "i", "j")):
@@ -99,8 +114,7 @@ def _linker(threshold):
                 if i != j:
                     a, b = np.concatenate([a, b]), np.concatenate([b, a])
                 links = np.bincount(a, m[b], hi - lo)
-                least = r.copy()
-                np.minimum.at(least, a, r[b])
+                least = _least_reachable(r, a, b)
                 hit = links > 0
                 out[0].append(r[hit]), out[1].append(links[hit].astype(np.int64)), out[2].append(least[hit])
             if out[0]:
@@ -116,7 +130,7 @@ def link_embeddings(df: DataFrame, scratch: Scratch, id_col: str = "vec_id", vec
     Equal vectors become one class with a multiplicity before anything is compared, so a vector that
     a third of all rows repeat is one member of its buckets. Every link is an exact cosine in
     double precision and counted in the first table that joins its pair. Large buckets go
-    out as pairs of chunks; a task emits a count and the smallest linked id for each class, never its pairs.
+    out as pairs of chunks; a task emits a count and the smallest id within reach of its links for each class, never its pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; only
     vectors of the same length are compared. A null id keeps its links, has a null component and is not kept. Repeated ids are separate vectors. Other columns of `df` are ignored.
