@@ -18,14 +18,14 @@ def simhash(text: Column) -> Column:
     words = F.filter(F.split(compare_form(text), " "), lambda w: w != "")
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     hashes = F.transform(F.concat(words, words, pairs), lambda w: F.xxhash64(w))
-    def bit(k):
-        return F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.shiftright(h, k).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-
-    bits = [F.when(bit(k) > 0, F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(64)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+    one = F.lit(1).cast("long")
+
+    def signature(h):
+        ones = lambda k: F.aggregate(h, F.lit(0).cast("long"), lambda n, x: n + F.call_function("shiftright", x, k).bitwiseAND(one))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda sig, k: F.when(2 * ones(k) > F.size(h), sig.bitwiseOR(F.call_function("shiftleft", one, k))).otherwise(sig))
+
+    # one-element array, so that the features are hashed once and not for every bit
+    return F.element_at(F.transform(F.array(hashes), signature), 1)
 
 
 def bands(sig: Column, n: int = 4) -> Column:

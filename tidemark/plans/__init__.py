@@ -1,3 +1,3 @@
 """Importing this package registers every query in `catalogue.QUERIES` and `catalogue.SQL`."""
 
-from tidemark.plans import analytics, catalogue, gates, lifecycle, trends, vocabulary  # noqa: F401
+from tidemark.plans import analytics, catalogue, documents, gates, lifecycle, trends, vocabulary  # noqa: F401
