@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 import os
 
 glob = lambda t: f"{SF}/{t}.parquet" + "/*" * os.path.isdir(f"{SF}/{t}.parquet")
-TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))  # c2_near_titles has no SQL: test_extract.py holds it against plain Python
