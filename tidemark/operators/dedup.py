@@ -34,12 +34,20 @@ def bands(sig: Column, n: int = 4) -> Column:
     return F.array(*[F.shiftrightunsigned(sig, i * width).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(i << width) for i in range(n)])
 
 
+def first_stories(stories: DataFrame) -> DataFrame:
+    """(id, rep): each story of (id, source, title, sig) and the first one of its source with the same signature and title."""
+    first = stories.groupBy("sig", "source", "title").agg(F.min("id").alias("rep"))
+    same = F.col("s.sig").eqNullSafe(F.col("f.sig")) & F.col("s.source").eqNullSafe(F.col("f.source")) & F.col("s.title").eqNullSafe(F.col("f.title"))
+    return stories.alias("s").join(first.alias("f"), same).select("s.id", "f.rep")
+
+
 def near_pairs(stories: DataFrame, merge: int = 3, maybe: int = 16) -> DataFrame:
     """(id, source, title, sig) to candidate pairs with an outcome: auto, title, ambiguous or reject.
 
-    Candidates share a band and differ in source; equal signatures are one candidate, their first story.
+    Candidates share a band and differ in source; stories of one source with equal signature and title are one candidate, the
+    first of them. `first_stories` leads from every story to its candidate, so that each has its outcomes without a row for each pair of copies.
     """
-    first = stories.groupBy("sig", "source").agg(F.min_by("title", "id").alias("title"), F.min("id").alias("id"))
+    first = stories.groupBy("sig", "source", "title").agg(F.min("id").alias("id"))
     banded = first.select("*", F.explode(bands(F.col("sig"))).alias("band"))
     a, b = banded.alias("a"), banded.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.source") != F.col("b.source")))

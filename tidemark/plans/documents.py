@@ -43,11 +43,21 @@ def q30_user_matches(spark, d):
     return met.withColumn("place", newest("account")).filter("place <= 3").select("account", "story", "place")
 
 
-def c2_near_titles(spark, d):
-    """Pairs of stories of different sources whose titles are near, with the outcome. Simhashes are beyond SQL; a test holds them against plain Python."""
+def _titled(spark, d):
     title = F.array_join(F.slice(F.split(text.compare_form(F.coalesce("text", F.lit(""))), " "), 1, 12), " ")
     stories = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("source"), title.alias("title")).filter("title <> ''")
-    return dedup.near_pairs(stories.withColumn("sig", dedup.simhash(F.col("title"))))
+    return stories.withColumn("sig", dedup.simhash(F.col("title")))
+
+
+def c2_near_titles(spark, d):
+    """Pairs of stories of different sources whose titles are near, with the outcome. Simhashes are beyond SQL; a test holds them against plain Python."""
+    return dedup.near_pairs(_titled(spark, d))
+
+
+def c2_title_members(spark, d):
+    """(id, rep): the story that stands for each story in the pairs of c2_near_titles; every titled story has a row."""
+    return dedup.first_stories(_titled(spark, d))
 
 
 QUERIES["c2_near_titles"] = c2_near_titles
+QUERIES["c2_title_members"] = c2_title_members
