@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST, Scratch, doc_key, gram_hashes, mix, one_batch, table, word_hashes
+from tidemark.llm.common import Scratch, gram_hashes, mix, one_batch, table, word_hashes
 from tidemark.llm.components import components
 from tidemark.llm.embedding_dedup import _runs
 
@@ -18,6 +18,8 @@ SHINGLE, SHARE = 3, (9, 10)
 BANDS, ROWS = 40, 8
 #: Members of a cluster that one task joins; larger clusters go out as pairs of blocks.
 BLOCK = 1024
+#: Keys from which on texts without an id are named by their hash, after the ids.
+NAMELESS = 1 << 62
 #: Children of a tree node.
 FAN = 4
 
@@ -61,7 +63,7 @@ def _signatures(n, bands, rows):
             pair = [(int(s.sum()), int(mix(s).sum())) if len(s) else (0, 0) for s in sets]
             h = np.array(pair, np.uint64).reshape(-1, 2).view(np.int64)
             keys = pa.array([minhash_bands(s, seeds, rows) if len(s) else None for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), keys], ["id", "n", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([b["id"], b["named"], pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), keys], ["id", "named", "n", "h1", "h2", "bands"])
 
     return run
 
@@ -187,11 +189,14 @@ def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tupl
     A cluster of more than `block` classes goes out as pairs of blocks, and their results are united as components.
 
     Null or blank texts have no shingles and link with nothing: a row without an id then has component null. Other rows
-    without an id may link; a component without any id is null. Rows that repeat an id have their own counts and are one
+    without an id are known by their text and may link; a component without any id is null. Rows that repeat an id have their own counts and are one
     document of the graph: what links with one of them links with all. An empty table gives an empty result; other columns are ignored.
     """
-    rows_in = docs.select(doc_key().alias("id"), F.col("text").cast("string").alias("text"))
-    sigs = scratch.write(rows_in.mapInArrow(_signatures(n, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
+    text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    # texts without an id are vertices of their own: one key for all would link what has nothing in common
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit(NAMELESS >> 1))
+    rows_in = docs.select(F.coalesce(doc, nameless).alias("id"), doc.isNotNull().alias("named"), text.alias("text"))
+    sigs = scratch.write(rows_in.mapInArrow(_signatures(n, bands, rows), "id long, named boolean, n long, h1 long, h2 long, bands array<long>"), "signatures")
     classes = scratch.write(sigs.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least <> most").select("key", "least")
@@ -205,17 +210,19 @@ def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tupl
     members = rows_in.join(placed.hint("merge"), "id").mapInArrow(_filled(_members(n)), "cluster long, i int, j int, side int, rep long, set binary")
     members = members.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = scratch.write(members.mapInArrow(_joiner(share), "a long, b long"), "links")
-    member = sigs.select("id", "n", "h1", "h2").join(classes.drop("bands"), ["n", "h1", "h2"], "left").select("id", "n", "rep")
+    member = sigs.select("id", "named", "n", "h1", "h2").join(classes.drop("bands"), ["n", "h1", "h2"], "left").select("id", "named", "n", "rep")
     member = scratch.write(member, "members")
-    several = member.filter(F.col("id") != LAST).groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least <> most")
+    several = member.filter("named").groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least <> most")
     same_id = member.join(several, "id").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     groups = components(links.unionByName(same_id), scratch, "links")
     out = member.join(groups.withColumnRenamed("id", "_id"), F.col("rep") == F.col("_id"), "left")
-    return out.select(_null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), _null(F.coalesce("component", "rep", "id")).alias("component_id"))
-
-
-def _null(c):
-    return F.when(c != LAST, c)
+    out = out.select("id", "named", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("key"))
+    component = F.when(F.col("key") < NAMELESS, F.col("key"))
+    if (member.filter("named").agg(F.max("id")).first()[0] or 0) >= NAMELESS:
+        # ids as large as the hashes: a component has the least of its ids
+        big = out.filter("named").filter(F.col("key") >= NAMELESS).groupBy("key").agg(F.min("id").alias("least"))
+        out, component = out.join(big, "key", "left"), F.coalesce(component, "least")
+    return out.select(F.when(F.col("named"), F.col("id")).alias("doc_id"), "n_shingles", component.alias("component_id"))
 
 
 def _filled(f):
