@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from functools import reduce
 from pathlib import Path
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,32 +65,6 @@ def least_shared(n: int, least: float) -> int:
     return max(1, math.ceil(least / (2 - least) * n - 1e-9))
 
 
-def needed_words(templates: list[list[str]], least: float) -> list[set[str]]:
-    """For each template words of which a match must contain one, as a part of a word at least.
-
-    A match shares at least m of the n bigrams, so of any n - m + 1 it has one. Words of six letters or more go
-    first, those first that are in use already or in many of the bigrams still needed; words of one template serve others.
-    """
-    chosen: list[str] = []
-    found = {}
-    for bigrams in sorted(templates, key=len):
-        need, covered, mine, holders = len(bigrams) - least_shared(len(bigrams), least) + 1, set(), set(), defaultdict(set)
-        for b in bigrams:
-            for w in b.split():
-                holders[w].add(b)
-        own = sorted(holders, key=lambda w: (-(len(w) >= 6), -len(holders[w]) if len(w) >= 6 else -len(w), w))
-        for word in [*chosen, *own]:
-            if len(covered) >= need:
-                break
-            more = set().union(*(bs for w, bs in holders.items() if word in w)) - covered
-            if more:
-                mine.add(word)
-                covered |= more
-        chosen += sorted(mine - set(chosen))
-        found[id(bigrams)] = mine
-    return [found[id(b)] for b in templates]
-
-
 def _literals(words: list[str]) -> Column:
     return F.split(F.lit("\n".join(words)), "\n")
 
@@ -100,6 +74,12 @@ def _let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _gram_hash(a: str, b: str) -> int:
+    """What xxhash64 gives for two words: the first one's hash seeds the second's."""
+    h = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _WORD), lambda w: w != "")
 
@@ -170,6 +150,22 @@ def _counted(runs: Column, least: float) -> Column:
     return F.aggregate(_let(runs, free), F.struct(F.lit(0).cast("long").alias("k"), F.lit(-1).alias("e")), take, lambda acc: acc["k"])
 
 
+def _possible(docs: DataFrame, templates: list[list[str]], least: float) -> DataFrame:
+    """The rows of (doc_id, text) whose text shares with a template the bigrams that any match must.
+
+    A text's bigrams are looked up in one set of those of all templates, each as a 64-bit hash; what is found is short, and only
+    templates that it may be enough for are counted. A match lies in consecutive words of its text, so its bigrams are the text's too.
+    """
+    hashed = [[_gram_hash(*g.split()) for g in b] for b in templates]
+    known = ", ".join(f"{h}L" for h in sorted(set().union(*hashed)))
+    wanted = [F.struct(F.lit(least_shared(len(h), least)).alias("m"), F.split(F.lit(" ".join(map(str, h))), " ").cast("array<long>").alias("h")) for h in hashed]
+    enough = lambda hits: F.exists(F.array(*wanted), lambda t: F.when(F.size(hits) >= t["m"], F.size(F.array_intersect(hits, t["h"])) >= t["m"]).otherwise(False))
+    pairs = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.xxhash64(a, b)))
+    found = docs.withColumn("hits", _let(_words(F.col("text")), pairs))
+    found = found.withColumn("hits", F.expr(f"array_distinct(filter(hits, h -> h IN ({known})))"))
+    return found.filter(_let(F.col("hits"), enough)).select("doc_id", "text")
+
+
 def scan_runs(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
     """(doc_id, license, n, dice) of notices that go over several lines or sentences: runs of consecutive pieces within a template's bounds."""
     low, high = least / (2 - least), (2 - least) / least
@@ -198,8 +194,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 
     A passage is lower-cased and cut into words of letters and digits; the coefficient is 2 |A and B| / (|A| + |B|) over
     word bigrams: distinct ones in common, sizes counted with repeats. A coefficient of `least` needs sizes within
-    least / (2 - least) of each other, so a passage only meets the templates that its size lets through; and it needs one of
-    a few words of the template, so most texts are never cut up. The templates, a parameter of a few entries,
+    least / (2 - least) of each other, so a passage only meets the templates that its size lets through; and it needs
+    least / (2 - least) of the template's bigrams, so texts without them are never cut up. The templates, a parameter of a few entries,
     are part of the expression; nothing but matches is shuffled.
 
     Null and empty texts and passages under two words match nothing. Rows that repeat a doc_id are summed, rows
@@ -210,12 +206,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     doc, text = F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     if not sized:
         return docs.select(doc, F.lit("").alias("license"), F.lit(0).cast("long").alias("n_matches"), F.lit(0.0).alias("dice")).filter("false")
-    needed = sorted(set().union(*needed_words([b for _, b in sized], least)))
-    held = lambda c: F.exists(F.array(F.lower(c)), lambda x: reduce(Column.__or__, [F.contains(x, F.lit(w)) for w in needed]))
-    docs = docs.filter(held(text)).select(doc, text.alias("text"))
+    docs = _possible(docs.select(doc, text.alias("text")), [b for _, b in sized], least)
     text = F.col("text")
-    units = docs.select(doc, F.explode(passages(text)).alias("unit")).filter(held(F.col("unit")))
-    units = units.select("doc_id", F.filter(F.split(F.lower("unit"), _WORD), lambda w: w != "").alias("words")).withColumn("n", F.size("words") - 1)
+    units = docs.select(doc, F.explode(passages(text)).alias("unit"))
+    units = units.select("doc_id", _words(F.col("unit")).alias("words")).withColumn("n", F.size("words") - 1)
     low, high = least / (2 - least), (2 - least) / least
     near = lambda b: F.col("n").between(math.ceil(len(b) * low - 1e-9), math.floor(len(b) * high + 1e-9))
     units = units.filter(reduce(Column.__or__, [near(b) for _, b in sized]))
