@@ -8,17 +8,33 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Neighbours from which on a vertex is a hub, whose rows find its minimum without meeting in one task.
+HUB = 512
+
+
+def _with_least(edges: DataFrame, own: bool, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b, m): each edge with the least neighbour of a, a itself included if `own`.
+
+    Minima are summed map-side. Those of hubs are a table of their own, at most 1/HUB of the edges, that Spark sends to the edges if
+    its size allows; so the many edges of a hub stay where they are and only the others are shuffled to their minimum.
+    """
+    m = F.min("b")
+    least = edges.groupBy("a").agg((F.least("a", m) if own else m).alias("m"), F.count("*").alias("n"))
+    hubs = scratch.write(least.filter(F.col("n") > HUB).select("a", F.col("m").alias("hub_m")), f"{name}-hubs")
+    marked = edges.join(hubs, "a", "left")
+    rest = marked.filter("hub_m IS NULL").select("a", "b").join(least.filter(F.col("n") <= HUB).select("a", "m"), "a")
+    return rest.unionByName(marked.filter("hub_m IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")))
+
+
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    return _with_least(both, True, scratch, name).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    moved = _with_least(down, False, scratch, name)
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(moved.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataFrame:
@@ -26,12 +42,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataF
 
     Each round is one written table, so no lineage grows and a lost executor costs one
     round at most. Loops (a = b) are dropped; an empty edge table gives an empty result. A hub
-    of any degree is summed by its partial minimum; the join back splits it (AQE skew join).
+    of any degree is summed by its partial minimum, which goes to its edges (`_with_least`).
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct()
     seen = None
     for k in range(100):
-        edges = scratch.write(_small_star(_large_star(edges)) if k else edges, f"{name}-{k}")
+        if k:
+            large = scratch.write(_large_star(edges, scratch, f"{name}-{k}-large"), f"{name}-{k}-large")
+            edges = _small_star(large, scratch, f"{name}-{k}-small")
+        edges = scratch.write(edges, f"{name}-{k}")
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if k > 1:
             scratch.drop(f"{name}-{k - 2}")
