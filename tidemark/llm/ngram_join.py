@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,8 @@ BLOCK = 1024
 NAMELESS = 1 << 62
 #: Children of a tree node.
 FAN = 4
+#: Bits of a block's number below its grade of size.
+_GRADE = 32
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
@@ -180,13 +184,33 @@ def _joiner(share):
     return run
 
 
+def _blocks(clusters: DataFrame, sizes: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
+    """(id, cluster, i, j, side): members of clusters dealt out as pairs of blocks, numbered by size first.
+
+    A cluster of up to `block` members is one block. In a larger one sets are graded by size, so that a link can only
+    join a grade with itself or the next; each grade is cut by hash into blocks of about `block`. Pairs of blocks two grades apart never arise.
+    """
+    up, down = share
+    grade = F.floor(F.ln("n") / (math.log(down / up) * 1.000001)).cast("long") if up < down else F.col("n")
+    total = clusters.groupBy("component").agg(F.count("*").alias("total")).filter(F.col("total") > block)
+    rows = clusters.join(sizes, "id").join(total, "component", "left").select("id", "component", F.when(F.col("total").isNotNull(), grade).otherwise(0).alias("k"))
+    cells = rows.groupBy("component", "k").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    beside = lambda by: cells.select("component", (F.col("k") + by).alias("k"), F.col("nb").alias("before" if by > 0 else "after"))
+    cells = cells.join(beside(1), ["component", "k"], "left").join(beside(-1), ["component", "k"], "left")
+    number = lambda k, nb: F.when(nb > 0, F.transform(F.sequence(F.lit(0), nb - 1), lambda x: F.shiftleft(k, _GRADE) + x)).otherwise(F.array().cast("array<long>"))
+    k, none = F.col("k"), F.lit(0)
+    near = F.concat(number(k, F.col("nb")), number(k - 1, F.coalesce("before", none)), number(k + 1, F.coalesce("after", none)))
+    rows = rows.join(cells, ["component", "k"]).withColumn("side", F.shiftleft("k", _GRADE) + F.pmod(F.xxhash64("id"), "nb"))
+    return rows.withColumn("other", F.explode(near)).select("id", F.col("component").alias("cluster"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+
+
 def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tuple[int, int] = SHARE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of `docs`.
 
     Equal sets become one class, by 128 bits of its hashes' sums. Classes that share a band of minhashes form
     candidate clusters: a link outside a cluster would need all 40 bands to differ. A class goes to its one cluster, so a
     passage or group that a third of all documents share costs each of them one row. In a cluster signature trees join the sets exactly.
-    A cluster of more than `block` classes goes out as pairs of blocks, and their results are united as components.
+    A cluster of more than `block` classes goes out as pairs of blocks of neighbouring sizes, and their results are united as components.
 
     Null or blank texts have no shingles and link with nothing: a row without an id then has component null. Other rows
     without an id are known by their text and may link; a component without any id is null. Rows that repeat an id have their own counts and are one
@@ -203,11 +227,9 @@ def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tupl
     close = keys.join(shared, "key").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     clusters = scratch.write(components(close, scratch, "candidates"), "clusters")
 
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    placed = clusters.join(blocks, "component").withColumn("side", F.pmod(F.xxhash64("id"), "nb").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("id", F.col("component").alias("cluster"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+    placed = _blocks(clusters, classes.select(F.col("rep").alias("id"), "n"), share, block)
     # texts are dealt out by id at every size: what is in a cluster grows with the corpus
-    members = rows_in.join(placed.hint("merge"), "id").mapInArrow(_filled(_members(n)), "cluster long, i int, j int, side int, rep long, set binary")
+    members = rows_in.join(placed.hint("merge"), "id").mapInArrow(_filled(_members(n)), "cluster long, i long, j long, side long, rep long, set binary")
     members = members.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = scratch.write(members.mapInArrow(_joiner(share), "a long, b long"), "links")
     member = sigs.select("id", "named", "n", "h1", "h2").join(classes.drop("bands"), ["n", "h1", "h2"], "left").select("id", "named", "n", "rep")
