@@ -48,7 +48,7 @@ def test_embeddings(spark):
     rows = [(1000 - i, v, 1, "x") for i, v in enumerate(vectors)] + [(2000 + i, v, 1, "x") for i, v in enumerate(odd)] + [(None, vectors[1], 1, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep string")
     for chunk in (2048, 7):
-        got = {r.vec_id: r for r in embedding_dedup.link_embeddings(df, Scratch(spark, "t1"), chunk=chunk, tables=48).collect()}
+        got = {r.vec_id: r for r in embedding_dedup.link_embeddings(df, Scratch(spark, "t1"), chunk=chunk, tables=48, projections=12).collect()}
         unit = np.array(vectors)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         linked = unit @ unit.T >= 0.95
@@ -79,11 +79,41 @@ def test_embedding_chains(spark):
     ids = [7, 11, 2, 9, 12, 4, 10, 1, 8, 5, 6, 3]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, arc)], "vec_id long, embedding array<double>")
     for chunk in (2048, 3):
-        got = {r.vec_id: r for r in embedding_dedup.link_embeddings(df, Scratch(spark, "t1c"), chunk=chunk, tables=96).collect()}
+        got = {r.vec_id: r for r in embedding_dedup.link_embeddings(df, Scratch(spark, "t1c"), chunk=chunk, tables=96, projections=12).collect()}
         assert [got[i].n_links for i in ids] == [1] + [2] * 10 + [1]
         assert {r.component_id for r in got.values()} == {1} and [i for i in got if got[i].kept] == [1]
 
 
+def test_repeated_vector_ids(spark):
+    """Vectors that share an id have links and components of their own; several without an id too."""
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal((2, 32))
+    near = lambda v: (v + rng.standard_normal(32) * 0.01).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, near(a)), (3, near(b)), (4, near(b)), (None, near(a)), (None, near(b)), (None, rng.standard_normal(32).tolist())]
+    got = embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Scratch(spark, "t1r")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, False), (0, 2, 0, False), (0, 3, 0, False), (1, 2, 1, True), (1, 3, 1, True), (2, 2, 1, False), (3, 3, 1, False), (4, 3, 1, False)]
+
+
+def test_hashing_plan():
+    """More vectors take more projections; the recall at the threshold, here measured, holds at any size."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal(x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    apart = embedding_dedup.most_apart(0.95)
+    bits = lambda v: np.unpackbits(embedding_dedup.sketches(v, 7).view(np.uint8), axis=1)
+    assert ((bits(x) != bits(y)).sum(axis=1) <= apart).all() and apart < 40
+    known = None
+    for n in (10_000, 10_000_000):
+        plan = embedding_dedup.hashing_plan(n, 0.95)
+        assert known is None or plan > known
+        known = plan
+        met = (embedding_dedup.bucket_keys(x, *plan, embedding_dedup.WIDTH, 7) == embedding_dedup.bucket_keys(y, *plan, embedding_dedup.WIDTH, 7)).any(axis=1)
+        assert met.mean() > 0.96
+
+
 def test_least_reachable():
     rng = np.random.default_rng(0)
     for _ in range(300):
@@ -264,17 +294,34 @@ def test_substring_ties(spark):
 
 
 def test_fm_index():
+    """Counts, earliest places and matching statistics of texts in the index and not, symbols that it lacks among them."""
     rng = np.random.default_rng(4)
-    seq = np.concatenate([rng.integers(1, 5, 300), [0], rng.integers(1, 5, 200), [0]])
-    index = substring_dedup.FMIndex(seq, 5, depth=6)
-    for _ in range(200):
-        pattern = rng.integers(1, 5, rng.integers(1, 7))
-        lo, hi = index.count(pattern[None, :])
-        want = [i for i in range(len(seq)) if list(seq[i : i + len(pattern)]) == list(pattern)]
-        assert sorted(index.places[lo[0] : hi[0]]) == want
-    for who, place, row in index.windows(seq, np.array([300, 501]), np.array([300, 200])):
-        for p, r in zip(place, row):
-            assert list(seq[index.places[r] : index.places[r] + 6]) == list(seq[p : p + 6])
+    for depth in (1, 2, 6, 20):
+        seq = np.concatenate([rng.integers(1, 5, 300), [0], rng.integers(1, 5, 200), [0]])
+        if depth == 20:
+            seq[330:370] = seq[20:60]
+        values = rng.permutation(len(seq))
+        index = substring_dedup.FMIndex(seq, 5, depth=depth, values=values)
+        at = lambda p: [i for i in range(len(seq)) if list(seq[i : i + len(p)]) == list(p)]
+        for _ in range(200):
+            pattern = rng.integers(1, 5, rng.integers(1, depth + 1))
+            lo, hi = index.count(pattern[None, :])
+            want = at(pattern)
+            assert hi[0] - lo[0] == len(want)
+            if want and len(pattern) == depth:
+                assert index.least[index.pattern_class(lo)[0]] == min(values[i] for i in want)
+        texts = np.concatenate([rng.integers(1, 5, 60), seq[30:80], [-1], seq[310:340], rng.integers(1, 5, 3)])
+        ends, sizes = np.array([60, 144, 144]), np.array([60, 84, 3])
+        got = {}
+        for who, place, length, row in index.matching_statistics(texts, ends, sizes):
+            got |= {(w, p): (m, r) for w, p, m, r in zip(who.tolist(), place.tolist(), length.tolist(), row.tolist())}
+        for k, (end, size) in enumerate(zip(ends, sizes)):
+            for p in range(end - size, end):
+                best = max((m for m in range(min(depth, end - p) + 1) if m == 0 or at(texts[p : p + m])), default=0)
+                assert got[k, p][0] == best
+                if best == depth:
+                    assert index.least[index.pattern_class(np.array([got[k, p][1]]))[0]] == min(values[i] for i in at(texts[p : p + best]))
+    assert substring_dedup.FMIndex(rng.integers(1, 1000, 50_000), 1000).nbytes() < 4 * 50_000
 
 
 # --- 7

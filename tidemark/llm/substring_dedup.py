@@ -6,7 +6,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, doc_key, gram_hashes, mix, one_batch, portions, table, word_hashes
@@ -14,33 +15,51 @@ from tidemark.llm.common import Scratch, doc_key, gram_hashes, mix, one_batch, p
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 20, 6
 #: Distinct contents of one anchor that one index holds together, and symbols from which on an index is closed.
-CONTENTS, SYMBOLS = 4096, 1 << 19
+CONTENTS, SYMBOLS = 512, 1 << 19
+#: Passages that are compared with an index's earliest places at a time.
+SLICE = 1 << 16
 _N_BITS, _S_BITS, _T_BITS = 4, 31, 28
 _TIE = (1 << _T_BITS) - 1
 
 
-# --- wavelet matrix and FM-index -----------------------------------------------------------------
+# --- wavelet tree and FM-index -------------------------------------------------------------------
+
+
+class BitVector:
+    """Bits with rank: a count for each 512 bits and, relative to it, one for each 64, so 1.3 bits a bit."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.packbits(np.concatenate([bits, np.zeros(512 - len(bits) % 512, bool)]), bitorder="little").view(np.uint64)
+        ones = np.bitwise_count(self.words).reshape(-1, 8).astype(np.uint32)
+        self.far = np.concatenate([[0], np.cumsum(ones.sum(axis=1))[:-1]]).astype(np.uint32)
+        self.near = (np.cumsum(ones, axis=1) - ones).astype(np.uint16).ravel()
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """How many bits before each place are set."""
+        word = i >> 6
+        below = self.words[word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
+        return self.far[i >> 9].astype(np.int64) + self.near[word] + np.bitwise_count(below)
+
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.far.nbytes + self.near.nbytes
 
 
 class WaveletTree:
-    """Rank over a sequence of small integers: a bit vector a level (pointerless layout), one count for each 64 bits."""
+    """Rank over a sequence of small integers: a bit vector a level (pointerless layout)."""
 
     def __init__(self, seq: np.ndarray, sigma: int):
         self.n, self.depth = len(seq), max(1, int(sigma - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
+        self.levels, self.zeros = [], []
         for level in reversed(range(self.depth)):
             bits = (seq >> level) & 1 == 1
-            packed = np.packbits(np.concatenate([bits, np.zeros(128 - len(bits) % 64, bool)]), bitorder="little").view(np.uint64)
-            self.words.append(packed)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]]))
+            self.levels.append(BitVector(bits))
             self.zeros.append(int(self.n - bits.sum()))
             seq = np.concatenate([seq[~bits], seq[bits]])
         self.first = self._descend(np.arange(sigma), np.zeros(sigma, np.int64))
 
     def _descend(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k, level in enumerate(reversed(range(self.depth))):
-            block, rest = i >> 6, (i & 63).astype(np.uint64)
-            ones = self.counts[k][block] + np.bitwise_count(self.words[k][block] & ((np.uint64(1) << rest) - np.uint64(1)))
+            ones = self.levels[k].rank(i)
             i = np.where((c >> level) & 1 == 1, self.zeros[k] + ones, i - ones)
         return i
 
@@ -50,13 +69,15 @@ class WaveletTree:
 
 
 class FMIndex:
-    """FM-index of a sequence whose suffixes are sorted by their first `depth` symbols: exact for patterns up to that length.
+    """Compressed FM-index of a sequence whose suffixes are sorted by their first `depth` symbols: exact for patterns up to that length.
 
-    Symbol 0 separates texts and is in no pattern. The shorter sort keeps the transform's rows of a
-    pattern together, as the order of rows that agree on `depth` symbols is never asked for.
+    Symbol 0 separates texts and is in no pattern. The shorter sort keeps the transform's rows of a pattern together, as the order of
+    rows that agree on `depth` symbols is never asked for. What stays is the wavelet tree of the transform, one byte a row (how
+    many symbols it shares with the row above) and, in place of a suffix array, the least of `values` (one a symbol) over the
+    occurrences of each distinct pattern of `depth` symbols: all that a search here reports about places.
     """
 
-    def __init__(self, seq: np.ndarray, sigma: int, depth: int = WINDOW):
+    def __init__(self, seq: np.ndarray, sigma: int, depth: int = WINDOW, values: np.ndarray | None = None):
         n, self.sigma, self.depth = len(seq), sigma, depth
 
         def pair(a, b, shift):
@@ -72,50 +93,80 @@ class FMIndex:
 
         known = {1: seq.astype(np.int64)}
         order = ranks(depth)
-        self.places = np.argsort(order, kind="stable")
-        self.starts = self._starts(order)
-        self.less = self._starts(ranks(depth - 1)) if depth > 1 else np.array([0])  # rows where a class of depth - 1 begins
-        last = seq[self.places - 1]
+        places = np.argsort(order, kind="stable")
+        self.n = n
+        self.shared = np.zeros(n, np.uint8)
+        above, here = places[:-1], places[1:]
+        for w in (1 << k for k in reversed(range(depth.bit_length()))):
+            same, of = self.shared[1:], np.concatenate([ranks(w), np.full(depth, -1)])
+            fits = (same + w <= depth) & (of[above + same] == of[here + same]) & (of[here + same] >= 0)
+            same[fits] += w
+        self.edges = {}
+        self.classes = BitVector(self.shared < depth)
+        self.least = None if values is None else np.minimum.reduceat(values[places], np.flatnonzero(self.shared < depth))
         self.before = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=sigma))])
-        self.tree = WaveletTree(last, sigma)
-
-    def _starts(self, order):
-        sorted_order = order[self.places]
-        return np.flatnonzero(np.concatenate([[True], sorted_order[1:] != sorted_order[:-1]]))
+        self.tree = WaveletTree(seq[places - 1], sigma)
 
     def extend(self, c, lo, hi):
         """Rows of the patterns that c, put before them, makes of those at rows [lo, hi)."""
         both = self.tree.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
         return self.before[c] + both[: len(c)], self.before[c] + both[len(c) :]
 
-    def shorten(self, lo):
-        """Rows of the patterns of `depth` symbols at rows from lo on without their last symbol."""
-        k = np.searchsorted(self.less, lo, side="right")
-        return self.less[k - 1], np.concatenate([self.less, [len(self.places)]])[k]
+    def shorten(self, lo, length: int):
+        """Rows of the patterns that the first `length` symbols at rows lo make."""
+        if length not in self.edges:
+            self.edges[length] = np.append(np.flatnonzero(self.shared < length) if length else 0, self.n).astype(np.uint32)
+        k = np.searchsorted(self.edges[length], lo, side="right")
+        return self.edges[length][k - 1].astype(np.int64), self.edges[length][k].astype(np.int64)
+
+    def pattern_class(self, row):
+        """The number, in `least`, of the pattern of `depth` symbols at a row."""
+        return self.classes.rank(row + 1) - 1
 
     def count(self, patterns: np.ndarray):
         """Rows [lo, hi) of patterns, one a line, by backward search; empty where one does not occur."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.places))
+        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n)
         for c in patterns.T[::-1]:
             lo, hi = self.extend(c, lo, hi)
             hi = np.maximum(lo, hi)
         return lo, hi
 
-    def windows(self, texts: np.ndarray, ends: np.ndarray, sizes: np.ndarray):
-        """Streams texts (places `ends` behind them, `sizes` symbols) from right to left: for each of their windows of `depth` symbols
-        (text, window's place, first row). The matching statistics stay at `depth`: a step back drops the
-        window's last symbol and extends by the one before. Texts must occur in the index."""
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.places))
+    def matching_statistics(self, texts: np.ndarray, ends: np.ndarray, sizes: np.ndarray):
+        """Streams texts (places `ends` behind them, `sizes` symbols) from right to left, all at once: for each place
+        (text, place, length of the longest match that begins there, up to `depth`, and its first row).
+
+        A step drops the match's last symbol where it has `depth`, puts the symbol before it, and where that does not
+        occur drops further ones until it does. Symbols below 0 occur nowhere.
+        """
+        lo, hi, length = np.zeros(len(ends), np.int64), np.full(len(ends), self.n), np.zeros(len(ends), np.int64)
         who = np.arange(len(ends))
         for step in range(1, int(sizes.max(initial=0)) + 1):
             live = sizes >= step
             if not live.all():
-                who, ends, sizes, lo, hi = who[live], ends[live], sizes[live], lo[live], hi[live]
-            if step > self.depth:
-                lo, hi = self.shorten(lo)
-            lo, hi = self.extend(texts[ends - step], lo, hi)
-            if step >= self.depth:
-                yield who, ends - step, lo
+                who, ends, sizes, lo, hi, length = who[live], ends[live], sizes[live], lo[live], hi[live], length[live]
+            c = texts[ends - step]
+            full = length == self.depth
+            if full.any():
+                lo[full], hi[full] = self.shorten(lo[full], self.depth - 1)
+                length[full] = self.depth - 1
+            left, right = self.extend(np.maximum(c, 0), lo, hi)
+            failed = np.flatnonzero((left >= right) | (c < 0))
+            while len(failed):
+                lost = (length[failed] == 0) | (c[failed] < 0)
+                none, failed = failed[lost], failed[~lost]
+                left[none], right[none], length[none] = 0, self.n, -1
+                length[failed] -= 1
+                for k in np.unique(length[failed]):
+                    some = failed[length[failed] == k]
+                    lo[some], hi[some] = self.shorten(lo[some], int(k))
+                left[failed], right[failed] = self.extend(c[failed], lo[failed], hi[failed])
+                failed = failed[left[failed] >= right[failed]]
+            lo, hi, length = left, right, length + 1
+            yield who, ends - step, length, lo
+
+    def nbytes(self) -> int:
+        """Bytes that stay, without what `least` reports."""
+        return sum(x.nbytes() for x in (*self.tree.levels, self.classes)) + self.shared.nbytes + self.before.nbytes + self.tree.first.nbytes
 
 
 # --- anchors: what may repeat --------------------------------------------------------------------
@@ -146,132 +197,122 @@ def _pack(tie, start, n):
 
 
 def _find(batches):
+    """Runs of each text, those first that are the earliest of their content in a portion of the input; the later ones of a
+    portion stream through an index of the portion's repeated contents, and what that finds is `gone`."""
+    names = ["gone", "anchor", "content", "id", "packed"]
     for b in one_batch(batches):
-        ids, ties = b["id"].to_numpy(), b["tie"].to_numpy()
-        parts, done = [], 0
+        ids, ties, done = b["id"].to_numpy(), b["tie"].to_numpy(), 0
         for part in portions(b):
-            text, *rest = anchored_runs(*word_hashes(part["text"]))
-            parts.append((text + done, *rest))
+            words, at = word_hashes(part["text"])
+            text, start, n, anchor, content = anchored_runs(words, at)
+            doc, packed = ids[done + text], _pack(ties[done + text], start, n)
             done += part.num_rows
-        text, start, n, anchor, content = map(np.concatenate, zip(*parts, strict=True))
-        if not len(text):
-            continue
-        doc, packed = ids[text], _pack(ties[text], start, n)
-        order = np.lexsort((packed, doc, content, anchor))
-        apart = np.concatenate([[True], (doc[order[1:]] != doc[order[:-1]]) | (packed[order[1:]] != packed[order[:-1]])])
-        order = order[apart]  # equal rows count once
-        doc, packed, start, anchor, content = doc[order], packed[order], start[order], anchor[order], content[order]
-        order = np.arange(len(order))
-        again = np.zeros(len(order), bool)  # the batch itself has an earlier run of this content
-        again[order[1:]] = (anchor[order[1:]] == anchor[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
-        shard = np.where(again, mix(doc.astype(np.uint64) + start.astype(np.uint64)), anchor).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(again), pa.array(shard), pa.array(content.view(np.int64)), pa.array(doc), pa.array(packed)], ["again", "anchor", "content", "id", "packed"])
-
-
-def _decide(contents):
-    """Of runs sorted by anchor, content and place: those after the first of a content repeat as a whole; the first ones of an anchor with several contents go on to an index."""
-
-    def run(batches):
-        held, last, index, before = None, (None, None), -1, (None, None)  # an anchor's first content until another turns up
-        for b in one_batch(batches):
-            again = b["again"].to_numpy(zero_copy_only=False)
-            anchor, content, doc, packed = (b[c].to_numpy() for c in ("anchor", "content", "id", "packed"))
-            rows = np.flatnonzero(~again)
-            if len(rows):  # equal rows count once
-                d, p = doc[rows], packed[rows]
-                a, c = anchor[rows], content[rows]
-                alike = np.concatenate([[last == (a[0], c[0]) and before == (d[0], p[0])], (a[1:] == a[:-1]) & (c[1:] == c[:-1]) & (d[1:] == d[:-1]) & (p[1:] == p[:-1])])
-                before = (d[-1], p[-1])
-                rows = rows[~alike]
-            gone = again.copy()
-            probe, chunk = np.zeros(len(again), bool), np.zeros(len(again), np.int64)
-            if len(rows):
-                a, c = anchor[rows], content[rows]
-                same_a = np.concatenate([[last[0] is not None and a[0] == last[0]], a[1:] == a[:-1]])
-                same = same_a & np.concatenate([[last[1] is not None and c[0] == last[1]], c[1:] == c[:-1]])
-                gone[rows[same]] = True
-                ends = np.concatenate([~same_a[1:], [True]])
-                fresh = np.cumsum(~same)
-                base = np.maximum.accumulate(np.where(~same_a, fresh, 0))
-                number = np.where(base > 0, fresh - base, fresh + index)  # of the content within its anchor
-                total = number[ends]
-                several = np.repeat(total, np.diff(np.concatenate([[0], np.flatnonzero(ends) + 1]))) > 0
-                first = ~same
-                probe[rows[first & several]] = True
-                chunk[rows] = number // contents
-                if held is not None:
-                    if same_a[0] and several[0]:
-                        yield held
-                        held = None
-                    elif not same_a[0]:
-                        held = None
-                if not several[-1] and number[-1] == 0 and first[~same_a & (a == a[-1])].any():
-                    k = rows[np.flatnonzero(a == a[-1])[0]]
-                    held = pa.RecordBatch.from_arrays([pa.array([False]), pa.array([anchor[k]]), pa.array([0], pa.int64()), pa.array([doc[k]]), pa.array([packed[k]])], ["gone", "anchor", "chunk", "id", "packed"])
-                last, index = (a[-1], c[-1]), int(number[-1])
-            keep = gone | probe
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(gone[keep]), pa.array(anchor[keep]), pa.array(chunk[keep]), pa.array(doc[keep]), pa.array(packed[keep])], ["gone", "anchor", "chunk", "id", "packed"])
-
-    return run
+            if not len(text):
+                continue
+            order = np.lexsort((packed, doc, content, anchor))
+            same = (anchor[order[1:]] == anchor[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+            first = np.concatenate([[True], ~same])
+            heads = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(heads), bool)), pa.array(anchor[heads].view(np.int64)), pa.array(content[heads].view(np.int64)), pa.array(doc[heads]), pa.array(packed[heads])], names)
+            group = np.cumsum(first) - 1
+            twice = np.bincount(group) > 1
+            if not twice.any():
+                continue
+            heads, renumbered = heads[twice], np.cumsum(twice) - 1
+            later = order[~first]
+            lo = at[text[heads]] + start[heads]
+            passages = [words[i:j] for i, j in zip(lo, lo + n[heads] + WINDOW - 1, strict=True)]
+            found, _ = earlier_windows(passages, doc[heads], packed[heads], renumbered[group[~first]], doc[later], packed[later])
+            for who, at_ in found:
+                none = pa.array(np.zeros(len(who), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(who), bool)), none, none, pa.array(who), pa.array(at_)], names)
 
 
 def _cut_out(batches):
-    """The symbols of each probe, from its document's text."""
+    """The symbols of each passage, from its document's text."""
     for b in (part for batch in one_batch(batches) for part in portions(batch)):
         words, at = word_hashes(b["text"])
         probes = b["probes"]
         flat, sizes = probes.flatten(), np.diff(probes.offsets.to_numpy())
-        anchor, chunk, hot, packed = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "chunk", "hot", "packed"))
         text = np.repeat(np.arange(b.num_rows), sizes)
-        start, n = (packed >> _N_BITS) & ((1 << _S_BITS) - 1), packed & ((1 << _N_BITS) - 1)
-        lo = at[text] + start
-        out = [words[i:j].tobytes() for i, j in zip(lo, lo + n + WINDOW - 1, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(chunk), pa.array(hot), pa.array(b["id"].to_numpy()[text]), pa.array(packed), pa.array(out, pa.binary())], ["anchor", "chunk", "hot", "id", "packed", "words"])
+        packed = flat.field("packed").to_numpy()
+        lo = at[text] + ((packed >> _N_BITS) & ((1 << _S_BITS) - 1))
+        out = [words[i:j].tobytes() for i, j in zip(lo, lo + (packed & ((1 << _N_BITS) - 1)) + WINDOW - 1, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("anchor", "chunk", "hot", "content")), pa.array(b["id"].to_numpy()[text]), flat.field("packed"), pa.array(out, pa.binary())], ["anchor", "chunk", "hot", "content", "id", "packed", "words"])
 
 
-def _search(tables):
-    """Builds an index over whole groups of (anchor, chunk) and streams their passages through it."""
-    t = pa.concat_tables(tables).combine_chunks()
-    hot, doc, packed = t["hot"].to_numpy(), t["id"].to_numpy(), t["packed"].to_numpy()
-    anchor = t["anchor"].to_numpy()
-    start, n, tie = (packed >> _N_BITS) & ((1 << _S_BITS) - 1), packed & ((1 << _N_BITS) - 1), packed >> (_N_BITS + _S_BITS)
-    sizes = n + WINDOW - 1
-    symbols = np.frombuffer(b"".join(t["words"].to_pylist()), np.uint64)
+def _unpack(packed):
+    return packed >> (_N_BITS + _S_BITS), (packed >> _N_BITS) & ((1 << _S_BITS) - 1), packed & ((1 << _N_BITS) - 1)
+
+
+def earlier_windows(passages: list[np.ndarray], doc: np.ndarray, packed: np.ndarray, of: np.ndarray, copy_doc: np.ndarray, copy_packed: np.ndarray):
+    """Indexes passages (words, document, place) and streams them, and copies of them (`of` numbers the passage, which no copy comes before), through the index.
+
+    Returns intervals of windows that occur at an earlier place, a pair of (documents, packed places) at a time, and (passage, offset,
+    window hash) of the passages' windows that do not. A passage's matching statistics are the same for all its copies, so it is searched
+    once, and each copy compares the earliest places found with its own.
+    """
+    (tie, start, n), sizes = _unpack(packed), np.array([len(p) for p in passages], np.int64)
+    copy_tie, copy_start, _ = _unpack(copy_packed)
+    symbols = np.concatenate(passages)
     distinct, coded = np.unique(symbols, return_inverse=True)
     at = np.concatenate([[0], np.cumsum(sizes + 1)])
-    seq = np.zeros(at[-1], np.int64)
     inside = np.ones(at[-1], bool)
     inside[at[1:] - 1] = False
+    seq = np.zeros(at[-1], np.int64)
     seq[inside] = coded + 1
-    index = FMIndex(seq, len(distinct) + 1)
-    rank = np.zeros(len(doc), np.int64)
-    order = np.lexsort((tie, doc))
-    rank[order[1:]] = np.cumsum((doc[order[1:]] != doc[order[:-1]]) | (tie[order[1:]] != tie[order[:-1]]))
-    key = np.repeat((rank << 32) + start, sizes + 1) + (np.arange(at[-1]) - np.repeat(at[:-1], sizes + 1))
-    least = np.minimum.reduceat(key[index.places], index.starts)
-    repeated, first = [], []
-    for who, place, row in index.windows(seq, at[:-1] + sizes, sizes):
-        early = least[np.searchsorted(index.starts, row)] < key[place]
-        repeated.append(np.stack([who[early], place[early]]))
-        mine = ~early & hot[who]
-        first.append(np.stack([who[mine], place[mine]]))
-    who, place = np.concatenate(repeated, axis=1)
-    order = np.argsort(place)
-    who, place = who[order], place[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 1) | (np.diff(who) != 0)])) if len(who) else np.zeros(0, np.int64)
-    length = np.diff(np.concatenate([new, [len(who)]]))
-    who, place = who[new], place[new]
-    out = [[doc[who], _pack(tie[who], start[who] + place - at[who], length), np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)]]
-    who, place = np.concatenate(first, axis=1)
-    if len(who):
-        hashed = np.zeros(len(seq), np.uint64)
-        hashed[inside] = symbols
-        window = gram_hashes(hashed, WINDOW)[place].view(np.int64)
-        out.append([doc[who], _pack(tie[who], start[who] + place - at[who], np.ones(len(who), np.int64)), anchor[who], window])
-    for ids, at_, a, w in out:
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(len(ids) * [bool(a.any() or w.any())]), *map(pa.array, (ids, at_, a, w))], ["open", "id", "packed", "anchor", "window"])
+    every_doc, every_tie = np.concatenate([doc, copy_doc]), np.concatenate([tie, copy_tie])
+    order, rank = np.lexsort((every_tie, every_doc)), np.zeros(len(every_doc), np.int64)
+    rank[order[1:]] = np.cumsum((np.diff(every_doc[order]) != 0) | (np.diff(every_tie[order]) != 0))
+    key = (rank << 32) + np.concatenate([start, copy_start])
+    values = np.repeat(key[: len(doc)], sizes + 1) + (np.arange(at[-1]) - np.repeat(at[:-1], sizes + 1))
+    index = FMIndex(seq, len(distinct) + 1, values=values)
+    base = np.concatenate([[0], np.cumsum(n)])
+    least = np.zeros(base[-1], np.int64)  # the earliest place of each window, passage by passage
+    for who, place, length, row in index.matching_statistics(seq, at[:-1] + sizes, sizes):
+        hit = np.flatnonzero(length >= WINDOW)
+        if len(hit):
+            least[base[who[hit]] + place[hit] - at[who[hit]]] = index.least[index.pattern_class(row[hit])]
+    out, doc_of, key_of = [], every_doc, key
+    source = np.concatenate([np.arange(len(doc)), of])
+    for lo in range(0, len(source), SLICE):
+        unit = np.arange(lo, min(len(source), lo + SLICE))
+        count = n[source[unit]]
+        ends = np.cumsum(count)
+        who = np.repeat(unit, count)
+        offset = np.arange(ends[-1]) - np.repeat(ends - count, count)
+        early = np.flatnonzero(least[base[source[who]] + offset] < key_of[who] + offset)
+        who, offset = who[early], offset[early]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(offset) != 1) | (np.diff(who) != 0)])) if len(who) else np.zeros(0, np.int64)
+        length = np.diff(np.append(new, len(who)))
+        who, offset = who[new], offset[new]
+        out.append((doc_of[who], _pack(every_tie[who], np.concatenate([start, copy_start])[who] + offset, length)))
+    who = np.repeat(np.arange(len(doc)), n)
+    offset = np.arange(base[-1]) - np.repeat(base[:-1], n)
+    mine = np.flatnonzero(least == key[who] + offset)
+    hashed = np.zeros(len(seq), np.uint64)
+    hashed[inside] = symbols
+    return out, (who[mine], offset[mine], gram_hashes(hashed, WINDOW)[at[who[mine]] + offset[mine]].view(np.int64))
+
+
+def _search(tables):
+    """One index over whole groups of (anchor, chunk); rows without words are copies of the row with words before them."""
+    t = pa.concat_tables(tables).combine_chunks()
+    doc, packed, anchor = t["id"].to_numpy(), t["packed"].to_numpy(), t["anchor"].to_numpy()
+    head = t["words"].is_valid().to_numpy()
+    passages = [np.frombuffer(w, np.uint64) for w in t["words"].filter(pa.array(head)).to_pylist()]
+    of = np.cumsum(head) - 1
+    found, (who, offset, window) = earlier_windows(passages, doc[head], packed[head], of[~head], doc[~head], packed[~head])
+    names = ["open", "id", "packed", "anchor", "window"]
+    for d, p in found:
+        if len(d):
+            none = pa.array(np.zeros(len(d), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), bool)), pa.array(d), pa.array(p), none, none], names)
+    mine = np.flatnonzero(t["hot"].to_numpy()[head][who])
+    if len(mine):
+        who, offset = who[mine], offset[mine]
+        tie, start, _ = _unpack(packed[head][who])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(who), bool)), pa.array(doc[head][who]), pa.array(_pack(tie, start + offset, 1)), pa.array(anchor[head][who]), pa.array(window[mine])], names)
 
 
 def _index_shards(symbols):
@@ -287,7 +328,7 @@ def _index_shards(symbols):
                 continue
             done, rest = t.slice(0, cut[-1]), t.slice(cut[-1])
             kept.append(done)
-            size += done.nbytes // 8
+            size += (pc.sum(pc.binary_length(done["words"])).as_py() or 0) // 8 + done.num_rows
             if size >= symbols:
                 yield from _search(kept)
                 kept, size = [], 0
@@ -322,11 +363,12 @@ def _remove(batches):
 def dedup_substrings(docs: DataFrame, scratch: Scratch, contents: int = CONTENTS, symbols: int = SYMBOLS) -> DataFrame:
     """(row, n_words, n_removed, kept_sha256, kept): each row of `docs` without words that a repeated window covers.
 
-    Three steps, each linear in the words. Windows are cut into runs by anchor (a window's least 6-gram), and
-    anchors are dealt out; a run whose content an earlier run has goes as a whole, tasks merging theirs before the
-    shuffle. What is left of anchors with several contents is cut out of the texts, and an FM-index for each shard of anchors
-    finds every window's occurrences by backward search; the earliest stays. An anchor with over
-    `contents` contents is indexed in chunks, whose earliest windows meet again by hash.
+    Each document against one index of the whole corpus would cost shards x words, so windows are cut into runs by anchor (a window's least
+    6-gram) and dealt to the shard of their anchor: equal windows meet there. A shard's index holds the distinct contents of
+    anchors that occur twice; all runs stream through it, and the windows whose matching statistics reach 20 words at an
+    earlier place are removed as intervals. Runs of equal content have equal statistics, which are searched once. What repeats within a portion of the
+    input (4 MB) streams through an index of that portion first, so that a passage of all documents reaches its shard once a portion. An anchor with over
+    `contents` contents is indexed in chunks, whose earliest windows meet again by hash. Every step is linear in the words.
 
     Null and short texts lose nothing. Documents are ordered by doc_id and, where that repeats, by a hash of the
     text; equal rows are one document, whose copies lose the same. Rows without an id come last. An empty table gives an
@@ -335,22 +377,27 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, contents: int = CONTENTS
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     tie = F.xxhash64(text).bitwiseAND(F.lit(_TIE))
     rows = docs.select(doc_key().alias("id"), tie.alias("tie"), text.alias("text"))
-    runs = rows.mapInArrow(_find, "again boolean, anchor long, content long, id long, packed long")
-    decided = runs.repartition("anchor").sortWithinPartitions("anchor", "content", "id", "packed").mapInArrow(_decide(contents), "gone boolean, anchor long, chunk long, id long, packed long")
+    runs = rows.mapInArrow(_find, "gone boolean, anchor long, content long, id long, packed long")
+    # what an index of a portion has found lies anywhere; its rows are spread by their document
+    runs = runs.withColumn("anchor", F.when(F.col("gone"), F.xxhash64("id", "packed")).otherwise(F.col("anchor")))
+    order = Window.partitionBy("gone", "anchor").orderBy("content", "id", "packed")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    decided = runs.withColumns({"of": F.count("*").over(every), "above": F.lag("content").over(order)}).filter("gone OR of > 1")
+    chunks = F.ceil(F.col("of") / contents)  # contents are hashes
+    decided = decided.select("gone", "anchor", F.pmod("content", chunks).alias("chunk"), (chunks > 1).alias("hot"), "content", (~F.col("above").eqNullSafe(F.col("content"))).alias("head"), "id", "packed")
     decided = scratch.write(decided, "decided")
-    probes = decided.filter("NOT gone")
-    hot = probes.filter("chunk > 0").select("anchor").distinct().withColumn("hot", F.lit(True))
-    probes = probes.join(hot, "anchor", "left").select("anchor", "chunk", F.coalesce("hot", F.lit(False)).alias("hot"), "id", "packed")
-    by_doc = probes.groupBy("id", F.shiftright("packed", _N_BITS + _S_BITS).alias("tie")).agg(F.collect_list(F.struct("anchor", "chunk", "hot", "packed")).alias("probes"))
-    cut = rows.join(by_doc, ["id", "tie"]).select("id", "text", "probes").mapInArrow(_cut_out, "anchor long, chunk long, hot boolean, id long, packed long, words binary")
-    found = cut.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk").mapInArrow(_index_shards(symbols), "open boolean, id long, packed long, anchor long, window long")
-    found = scratch.write(found, "found")
+    own_tie = F.shiftright("packed", _N_BITS + _S_BITS).alias("tie")
+    by_doc = decided.filter("NOT gone AND head").groupBy("id", own_tie).agg(F.collect_list(F.struct("anchor", "chunk", "hot", "content", "packed")).alias("probes"))
+    cut = rows.join(by_doc, ["id", "tie"]).select("id", "text", "probes").mapInArrow(_cut_out, "anchor long, chunk long, hot boolean, content long, id long, packed long, words binary")
+    staged = cut.unionByName(decided.filter("NOT gone AND NOT head").select("anchor", "chunk", "hot", "content", "id", "packed", F.lit(None).cast("binary").alias("words")))
+    staged = staged.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", "content", "id", "packed")
+    found = scratch.write(staged.mapInArrow(_index_shards(symbols), "open boolean, id long, packed long, anchor long, window long"), "found")
     firsts = found.filter("open")
     place = F.struct("id", F.shiftright("packed", _N_BITS).alias("at"))
     least = firsts.groupBy("anchor", "window").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").select("anchor", "window", "least")
     late = firsts.join(least, ["anchor", "window"]).filter(place > F.col("least"))
     gone = decided.filter("gone").select("id", "packed").unionByName(found.filter("NOT open").select("id", "packed")).unionByName(late.select("id", "packed"))
-    gone = gone.groupBy("id", F.shiftright("packed", _N_BITS + _S_BITS).alias("tie")).agg(F.collect_list(F.col("packed").bitwiseAND(F.lit((1 << (_N_BITS + _S_BITS)) - 1))).alias("gone"))
+    gone = gone.groupBy("id", own_tie).agg(F.collect_list(F.col("packed").bitwiseAND(F.lit((1 << (_N_BITS + _S_BITS)) - 1))).alias("gone"))
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_key().alias("id"), tie.alias("tie"), text.alias("text"))
     held = held.join(gone, ["id", "tie"], "left").select("row", "text", "gone")
     schema = held.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
