@@ -18,9 +18,25 @@ def niche(coverage: Column) -> Column:
 
 
 def novelty(age_hours: Column, late_hours: Column, domain_days: Column) -> Column:
-    late = F.when(late_hours <= 24, 1.0).when(late_hours <= 168, 0.6).otherwise(0.3)
-    known = F.when(domain_days < 30, 1.0).when(domain_days < 365, 0.85).otherwise(0.7)
-    return clamp01(F.exp(-age_hours / 48) * late * known)
+    """Fading with a story's age, less where it was found late or its domain is well known; unknown lateness and domains count as new."""
+    late = F.when(late_hours > 24 * 14, 0.3).when(late_hours > 48, 0.6).otherwise(1.0)
+    known = F.when(domain_days >= 180, 0.7).when(domain_days >= 30, 0.85).otherwise(1.0)
+    return clamp01(F.exp(-F.greatest(age_hours, F.lit(0.0)) / 48) * late * known)
+
+
+def freshness(lag_hours: Column) -> Column:
+    """100 for what arrives at once, 0 from two days on."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(100 - lag_hours / 48 * 100, 2)))
+
+
+def distance_from_similarity(similarity: Column) -> Column:
+    """Bits of 64 in which signatures of texts so similar may differ."""
+    return F.round((1 - similarity) * 64).cast("int")
+
+
+def decayed(rank: Column, age_days: Column) -> Column:
+    """A search rank that counts up to twice for what is new, and half of that surplus after thirty days."""
+    return rank * (1 + 1 / (1 + age_days / 30))
 
 
 def depth(chars: Column, weight: Column, primary: Column) -> Column:

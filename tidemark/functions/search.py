@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import compare_form
@@ -36,3 +36,28 @@ def suggestions(name: Column, typed: str) -> Column:
     """Edit distance of a name within reach of what was typed, else null: at most 2, or a third of its length."""
     distance = F.levenshtein(F.lower(name), F.lit(typed.lower()))
     return F.when(distance <= max(2, len(typed) // 3), distance)
+
+
+def occurrences(text: Column, query: str) -> Column:
+    """How often the wanted words and phrases of a query stand in a text, as whole words."""
+    padded = F.concat(F.lit("  "), F.regexp_replace(compare_form(F.coalesce(text, F.lit(""))), " ", "  "), F.lit("  "))
+    wanted = dict.fromkeys(words for a in parse_query(query) for yes, words in a if yes)
+    each = [F.regexp_count(padded, F.lit(" " + re.escape(w).replace("\\ ", " ").replace(" ", "  ") + " ")) for w in wanted]
+    return reduce(Column.__add__, each) if each else F.lit(0)
+
+
+def rank(text: Column, query: str) -> Column:
+    """Occurrences against the length of the text: (number of hits) / (1 + ln of its words)."""
+    words = F.greatest(F.size(F.split(compare_form(F.coalesce(text, F.lit(""))), " ")), F.lit(1))
+    return occurrences(text, query) / (1 + F.ln(words))
+
+
+def ladder(rows: DataFrame, column: str, typed: str) -> DataFrame:
+    """Rows with `mode`, from the first rung that finds any: all words, any word, or the text as typed. One pass looks for the
+    rung and one takes its rows."""
+    terms = [t for a in parse_query(typed) for t in a]
+    some = [matches(F.col(column), f'"{words}"') for yes, words in terms if yes]
+    rungs = {"all": matches(F.col(column), typed), "any": reduce(Column.__or__, some) if some else F.lit(False), "literal": F.coalesce(F.contains(F.lower(column), F.lit(typed.lower())), F.lit(False))}
+    found = rows.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(name) for name, c in rungs.items()]).first()
+    mode = next((name for name in rungs if found[name]), "all")
+    return rows.filter(rungs[mode]).withColumn("mode", F.lit(mode))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import compare_form, title_overlap
+from tidemark.functions.text import features, title_overlap
 
 
 def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -13,15 +13,13 @@ def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(F.struct(order, "id")).alias("k"), F.count("*").alias("members")).select(key, F.col("k.id").alias("keeper"), "members")
 
 
-def simhash(text: Column) -> Column:
-    """64-bit simhash of the words and word pairs: bit k is set where more features have it than not."""
-    words = F.filter(F.split(compare_form(text), " "), lambda w: w != "")
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    hashes = F.transform(F.concat(words, words, pairs), lambda w: F.xxhash64(w))
+def simhash(text: Column, hashed=F.xxhash64) -> Column:
+    """64-bit simhash of a text's features, words twice and pairs once: bit k is set where more of them have it than not. `hashed` takes a feature to 64 bits."""
+    hashes = F.transform(features(text), hashed)
     one = F.lit(1).cast("long")
 
     def signature(h):
-        ones = lambda k: F.aggregate(h, F.lit(0).cast("long"), lambda n, x: n + F.call_function("shiftright", x, k).bitwiseAND(one))
+        ones = lambda k: F.aggregate(h, F.lit(0).cast("long"), lambda n, x: n + F.call_function("shiftrightunsigned", x, k).bitwiseAND(one))
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda sig, k: F.when(2 * ones(k) > F.size(h), sig.bitwiseOR(F.call_function("shiftleft", one, k))).otherwise(sig))
 
     # one-element array, so that the features are hashed once and not for every bit

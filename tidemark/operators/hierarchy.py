@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 
 def closure(tree: DataFrame, deepest: int = 12) -> DataFrame:
-    """(slug, parent) to (root, member, depth), each node a member of itself. The depth guard ends cycles."""
-    level = tree.select(F.col("slug").alias("root"), F.col("slug").alias("member"), F.lit(0).alias("depth"))
-    out, edges = level, tree.filter("parent IS NOT NULL").select(F.col("parent").alias("member"), F.col("slug").alias("child"))
-    for depth in range(1, deepest):
-        level = level.join(edges, "member").select("root", F.col("child").alias("member"), F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-        if level.isEmpty():
-            break
-    return out.groupBy("root", "member").agg(F.min("depth").alias("depth"))
+    """(slug, parent) to (root, member, depth), each node a member of itself. The depth guard ends cycles; a node met twice keeps its least depth.
+
+    One recursive query: Spark keeps each level's rows, so no level is computed again for the next.
+    """
+    steps = """
+        WITH RECURSIVE down(root, member, depth) AS (
+          SELECT slug, slug, 0 FROM {tree}
+          UNION ALL SELECT down.root, t.slug, down.depth + 1 FROM down JOIN {tree} t ON t.parent = down.member WHERE down.depth < {last}
+        ) SELECT root, member, depth FROM down LIMIT ALL"""
+    return tree.sparkSession.sql(steps, tree=tree.select("slug", "parent"), last=deepest - 1).groupBy("root", "member").agg(F.min("depth").alias("depth"))
 
 
 def expand(roots: DataFrame, closed: DataFrame) -> DataFrame:

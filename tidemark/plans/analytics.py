@@ -175,7 +175,7 @@ def t3_page_text(spark, d):
     return _t(spark, d, "pages").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("text_md5"))
 
 
-@query("WITH s AS (SELECT doc_id, n_chars, doc_id % 100 AS age FROM documents), x AS (SELECT doc_id, least(1, greatest(0, 0.35::DOUBLE * least(ln(1 + n_chars) / ln(12001), 1) + 0.25::DOUBLE)) AS depth, exp(-age / 48::DOUBLE) * CASE WHEN age <= 24 THEN 1 ELSE 0.6::DOUBLE END AS novelty FROM s) SELECT doc_id, round(depth, 9) AS depth, round(novelty, 9) AS novelty, CASE WHEN depth >= 0.6 AND novelty >= 0.5 THEN 'niche' ELSE 'background' END AS tier FROM x")
+@query("WITH s AS (SELECT doc_id, n_chars, doc_id % 100 AS age FROM documents), x AS (SELECT doc_id, least(1, greatest(0, 0.35::DOUBLE * least(ln(1 + n_chars) / ln(12001), 1) + 0.25::DOUBLE)) AS depth, exp(-age / 48::DOUBLE) * CASE WHEN age <= 48 THEN 1 ELSE 0.6::DOUBLE END AS novelty FROM s) SELECT doc_id, round(depth, 9) AS depth, round(novelty, 9) AS novelty, CASE WHEN depth >= 0.6 AND novelty >= 0.5 THEN 'niche' ELSE 'background' END AS tier FROM x")
 def m4_story_scores(spark, d):
     age = F.pmod("doc_id", F.lit(100))
     rows = _t(spark, d, "documents").select("doc_id", scores.depth(F.col("n_chars"), F.lit(0.5), F.lit(False)).alias("depth"), scores.novelty(age, age, F.lit(0)).alias("novelty"))

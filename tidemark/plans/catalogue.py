@@ -152,7 +152,7 @@ def j16_coverage_snapshots(spark, d):
     return counts.select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(h).alias("hours"), F.col(str(h)).alias("coverage")) for h in offsets])).alias("s")).select("o_orderkey", "s.hours", "s.coverage")
 
 
-@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host, array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(string_split(p, '=')[1], '^(utm_.*|fbclid|gclid|ref|mc_cid|mc_eid|igshid)$'))), '&') AS params FROM pages")
+@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host, array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(string_split(p, '=')[1]), '^(utm_.*|fbclid|gclid|ref|source|from)$'))), '&') AS params FROM pages")
 def t11_canonical_url(spark, d):
     canon = text.canonical_url(F.col("url"))
     return _t(spark, d, "pages").select("page_id", text.host(F.col("url")).alias("host"), F.regexp_extract(canon, r"\?(.*)$", 1).alias("params"))
