@@ -19,7 +19,7 @@ SHINGLE, SHARE = 3, (9, 10)
 #: one in 0.3 % of cases; each band of two sets' minhashes is drawn anew, so the bound holds for sets of any size.
 BANDS, ROWS = 40, 8
 #: Members of a cluster that one task joins; larger clusters go out as pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Keys from which on texts without an id are named by their hash, after the ids.
 NAMELESS = 1 << 62
 #: Children of a tree node.
@@ -184,7 +184,7 @@ def _joiner(share):
     return run
 
 
-def _blocks(clusters: DataFrame, sizes: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
+def _blocks(clusters: DataFrame, sizes: DataFrame, share: tuple[int, int], block: int, scratch: Scratch) -> DataFrame:
     """(id, cluster, i, j, side): members of clusters dealt out as pairs of blocks, numbered by size first.
 
     A cluster of up to `block` members is one block. In a larger one sets are graded by size, so that a link can only
@@ -192,16 +192,20 @@ def _blocks(clusters: DataFrame, sizes: DataFrame, share: tuple[int, int], block
     """
     up, down = share
     grade = F.floor(F.ln("n") / (math.log(down / up) * 1.000001)).cast("long") if up < down else F.col("n")
-    total = clusters.groupBy("component").agg(F.count("*").alias("total")).filter(F.col("total") > block)
-    rows = clusters.join(sizes, "id").join(total, "component", "left").select("id", "component", F.when(F.col("total").isNotNull(), grade).otherwise(0).alias("k"))
+    # at most a row for each `block` members: small enough to be sent to the members where its size allows
+    large = scratch.write(clusters.groupBy("component").agg(F.count("*").alias("total")).filter(F.col("total") > block), "large-clusters")
+    marked = clusters.join(large, "component", "left")
+    small = marked.filter("total IS NULL").select("id", F.col("component").alias("cluster"), *[F.lit(0).cast("long").alias(c) for c in ("i", "j", "side")])
+    rows = scratch.write(marked.filter("total IS NOT NULL").join(sizes, "id").select("id", "component", grade.alias("k")), "graded")
     cells = rows.groupBy("component", "k").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     beside = lambda by: cells.select("component", (F.col("k") + by).alias("k"), F.col("nb").alias("before" if by > 0 else "after"))
-    cells = cells.join(beside(1), ["component", "k"], "left").join(beside(-1), ["component", "k"], "left")
+    cells = scratch.write(cells.join(beside(1), ["component", "k"], "left").join(beside(-1), ["component", "k"], "left"), "cells")
     number = lambda k, nb: F.when(nb > 0, F.transform(F.sequence(F.lit(0), nb - 1), lambda x: F.shiftleft(k, _GRADE) + x)).otherwise(F.array().cast("array<long>"))
     k, none = F.col("k"), F.lit(0)
     near = F.concat(number(k, F.col("nb")), number(k - 1, F.coalesce("before", none)), number(k + 1, F.coalesce("after", none)))
     rows = rows.join(cells, ["component", "k"]).withColumn("side", F.shiftleft("k", _GRADE) + F.pmod(F.xxhash64("id"), "nb"))
-    return rows.withColumn("other", F.explode(near)).select("id", F.col("component").alias("cluster"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+    rows = rows.withColumn("other", F.explode(near)).select("id", F.col("component").alias("cluster"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+    return small.unionByName(rows)
 
 
 def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tuple[int, int] = SHARE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -227,7 +231,7 @@ def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tupl
     close = keys.join(shared, "key").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     clusters = scratch.write(components(close, scratch, "candidates"), "clusters")
 
-    placed = _blocks(clusters, classes.select(F.col("rep").alias("id"), "n"), share, block)
+    placed = _blocks(clusters, classes.select(F.col("rep").alias("id"), "n"), share, block, scratch)
     # texts are dealt out by id at every size: what is in a cluster grows with the corpus
     members = rows_in.join(placed.hint("merge"), "id").mapInArrow(_filled(_members(n)), "cluster long, i long, j long, side long, rep long, set binary")
     members = members.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
