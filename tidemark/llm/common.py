@@ -28,13 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    What is written there survives lost executors. Only where the setting is absent
-    (tests, a laptop) a temporary folder takes its place.
+    What is written there survives lost executors. Only a local session without the setting
+    (tests, a laptop) gets a temporary folder; a cluster without it is refused.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import Scratch, table
 
 #: The notices that licences ask for, and the grants of two short licences. The SQL knows these.
 NOTICES = {
@@ -185,7 +185,7 @@ def scan_runs(docs: DataFrame, templates: dict[str, str], least: float) -> DataF
     return found.select("doc_id", "license", "r.n", "r.dice").filter(F.col("dice") >= least)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, license, n_matches, dice): for each document and licence that it holds, the passages that match and the best coefficient.
 
     Passages are the distinct sentences and lines, the text as a whole, and runs of consecutive sentences over any lines
@@ -206,7 +206,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     doc, text = F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     if not sized:
         return docs.select(doc, F.lit("").alias("license"), F.lit(0).cast("long").alias("n_matches"), F.lit(0.0).alias("dice")).filter("false")
-    docs = _possible(docs.select(doc, text.alias("text")), [b for _, b in sized], least)
+    # written, as both ways of cutting it up read it
+    docs = (scratch or Scratch(docs.sparkSession, "licenses")).write(_possible(docs.select(doc, text.alias("text")), [b for _, b in sized], least), "possible")
     text = F.col("text")
     units = docs.select(doc, F.explode(passages(text)).alias("unit"))
     units = units.select("doc_id", _words(F.col("unit")).alias("words")).withColumn("n", F.size("words") - 1)
@@ -226,7 +227,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), scratch=Scratch(spark, "op4"))
 
 
 def _sql() -> str:
