@@ -29,3 +29,10 @@ def changes(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     seen = df.withColumn("_before", F.lag(value).over(w)).withColumn("_n", F.row_number().over(w))
     return seen.filter((F.col("_n") == 1) | ~F.col("_before").eqNullSafe(F.col(value))).drop("_before", "_n")
+
+
+def timers(stories: DataFrame, at: str, as_of: str, offsets: tuple[int, ...]) -> DataFrame:
+    """A row with `hours` and `due` for each story and offset; stories that are past the widest offset by `as_of` get none."""
+    fresh = stories.filter(F.col(at) + F.make_interval(hours=F.lit(max(offsets))) > F.lit(as_of).cast("timestamp_ntz"))
+    timed = fresh.withColumn("hours", F.explode(F.array(*map(F.lit, offsets))))
+    return timed.withColumn("due", F.col(at) + F.make_interval(hours=F.col("hours")))

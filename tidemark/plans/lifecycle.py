@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores
 from tidemark.operators import hierarchy
+from tidemark.operators.tables import Table, roll_up, shared_folder
 from tidemark.plans.catalogue import _t, query
 from tidemark.plans.trends import _latest
 
@@ -17,25 +18,38 @@ _MONTH = "date_trunc('month', o_orderdate)::DATE AS month"
 
 @query("WITH n AS (SELECT l_suppkey, count(*) AS items, max(l_shipdate) AS last FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT s_suppkey, CASE WHEN items IS NULL THEN s_acctbal ELSE round(s_acctbal - items, 2) END AS balance, coalesce(items, 0) AS items, last FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey")
 def k5_update_from(spark, d):
-    """The whole target with the rows that the subquery names changed."""
-    n = _t(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count("*").alias("items"), F.max("l_shipdate").alias("last"))
-    rows = _t(spark, d, "supplier").join(n, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    balance = F.when(F.col("items").isNull(), F.col("s_acctbal")).otherwise(F.round(F.col("s_acctbal") - F.col("items"), 2))
-    return rows.select("s_suppkey", balance.alias("balance"), F.coalesce("items", F.lit(0)).alias("items"), "last")
+    """A written table, changed by an update from a subquery, and read back; nations without such a supplier are not written again."""
+    t = Table(spark, shared_folder(spark, "suppliers"), "s_nationkey")
+    none = F.lit(None).cast("timestamp_ntz")
+    t.replace(_t(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.lit(0).cast("long").alias("items"), none.alias("last"), "s_nationkey"))
+    n = _t(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("_n"), F.max("l_shipdate").alias("_last"))
+    t.update(n, ["s_suppkey"], {"balance": F.round(F.col("balance") - F.col("_n"), 2), "items": F.col("_n"), "last": F.col("_last")})
+    return t.read().drop("s_nationkey")
 
 
 @query(f"WITH o AS (SELECT {_MONTH}, o_orderstatus FROM orders), rolled AS (SELECT month, count(*) FILTER (o_orderstatus = 'F') AS stories FROM o GROUP BY 1), dirty AS (SELECT month, count(*) AS stories FROM o GROUP BY 1 HAVING bool_or(o_orderstatus = 'P')) SELECT month, stories, false AS rewritten FROM rolled WHERE month NOT IN (SELECT month FROM dirty) UNION ALL SELECT month, stories, true FROM dirty", date="month")
 def k6_month_rewrite(spark, d):
-    """Whole months are replaced: those of the table that nothing touched, and the dirty ones computed anew."""
-    o = _t(spark, d, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg(F.count("*").alias("now"), F.count_if(F.col("o_orderstatus") == "F").alias("was"), F.count_if(F.col("o_orderstatus") == "P").alias("late"))
-    return o.select("month", F.when(F.col("late") > 0, F.col("now")).otherwise(F.col("was")).alias("stories"), (F.col("late") > 0).alias("rewritten"))
+    """A written cube whose dirty months are computed anew and replaced, the others left as they are; read back."""
+    month = F.trunc("o_orderdate", "MM")
+    items, cube = (Table(spark, shared_folder(spark, name), "month") for name in ("items", "months"))
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", month.alias("month"))
+    count = lambda late: [F.count("*").alias("stories"), F.lit(late).alias("rewritten")]
+    items.append(o.filter("o_orderstatus = 'F'"))
+    cube.replace(items.read().groupBy("month").agg(*count(False)).unionByName(o.groupBy("month").agg(F.count_if(F.col("o_orderstatus") == "F").alias("stories"), F.lit(False).alias("rewritten")).filter("stories = 0")))
+    items.append(o.filter("o_orderstatus <> 'F'"))
+    roll_up(items, cube, "month", count(True), o.filter("o_orderstatus = 'P'").select("month"), o.select("month").filter("false"))
+    return cube.read().select("month", "stories", "rewritten")
 
 
 @query("SELECT l_suppkey, count(*) AS left_over FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F') GROUP BY 1")
 def k8_orphans(spark, d):
-    """What a sweep would delete: items without a living parent."""
-    parents = _t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(parents, "l_orderkey", "left_anti").groupBy("l_suppkey").agg(F.count("*").alias("left_over"))
+    """What a sweep of orphans takes from a written table, by supplier: its rows before less those after."""
+    t = Table(spark, shared_folder(spark, "members"), "l_linestatus")
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linestatus")
+    t.append(rows)
+    t.sweep(_t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"])
+    left = rows.select("l_suppkey", F.lit(1).alias("n")).unionByName(t.read().select("l_suppkey", F.lit(-1).alias("n")))
+    return left.groupBy("l_suppkey").agg(F.sum("n").alias("left_over")).filter("left_over > 0")
 
 
 @query("WITH c AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') SELECT CASE WHEN o_orderstatus = 'P' THEN 'unrolled' WHEN o_orderpriority LIKE '1%' THEN 'favourite' WHEN l_orderkey IS NOT NULL THEN 'has_children' ELSE 'deletable' END AS guard, count(*) AS n FROM orders LEFT JOIN c ON l_orderkey = o_orderkey GROUP BY 1")
