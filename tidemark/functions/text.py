@@ -78,7 +78,7 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_extract(raw, r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)
     for pattern, new in ((r"(?i)/amp/?$", "/"), (r"(?i)\.amp(\.html?)?$", "$1"), (r"(?i)/print/?$", "/"), ("//+", "/"), ("/$", "")):
         path = F.regexp_replace(path, pattern, new)
-    params = F.split(F.regexp_extract(raw, r"\?([^#]*)", 1), "&")
+    params = F.split(F.regexp_extract(raw, r"^[^?#]*\?([^#]*)", 1), "&")
     kept = F.array_join(F.array_sort(F.filter(params, lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).rlike(TRACKING))), "&")
     out = F.concat(F.lit("https://"), host(raw), F.when(port.isin(":80", ":443"), "").otherwise(port), path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
     return F.when(raw.rlike(r"(?i)^https?://[^/:?#]"), out)
@@ -92,7 +92,7 @@ def registrable_domain(name: Column) -> Column:
 
 def affiliate(raw_url: Column) -> Column:
     """Whether a web address, as it was written, pays whoever wrote it: by a parameter, the start of its path or its host."""
-    names = F.transform(F.split(F.regexp_extract(raw_url, r"\?([^#]*)", 1), "&"), lambda p: F.split(p, "=")[0])
+    names = F.transform(F.split(F.regexp_extract(raw_url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: F.split(p, "=")[0])
     path = F.lower(F.regexp_extract(raw_url, r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1))
     begins = path.rlike("^(" + "|".join(AFFILIATE_PATHS) + ")")
     return F.coalesce(F.arrays_overlap(names, F.array(*map(F.lit, AFFILIATE_PARAMS))) | begins | host(raw_url).rlike(AFFILIATE_HOSTS), F.lit(False))

@@ -44,3 +44,24 @@ def by_name(asked: DataFrame, name: str, entries: DataFrame, key: str) -> DataFr
     """Rows with the key of the entry whose `name`, or one of whose `aliases`, is theirs, whatever its case; null for none."""
     names = entries.select(key, F.explode(F.array_union(F.array(F.lower("name")), F.transform("aliases", F.lower))).alias("_name")).distinct()
     return asked.join(names, F.lower(name) == F.col("_name"), "left").drop("_name")
+
+
+def zipped(rows: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
+    """A row for each place of arrays that belong together; shorter ones are filled with nulls."""
+    return rows.select(*keys, F.explode(F.arrays_zip(*arrays)).alias("_z")).select(*keys, "_z.*")
+
+
+def records(rows: DataFrame, body: str, fields: str) -> DataFrame:
+    """A row for each record of a JSON array, with its `fields` as columns; bodies that are no array give none."""
+    return rows.withColumn("_r", F.explode(F.from_json(body, f"array<struct<{', '.join(f.replace(' ', ': ') for f in fields.split(', '))}>>"))).select(*[c for c in rows.columns if c != body], "_r.*")
+
+
+def unpivoted(rows: DataFrame, body: str) -> DataFrame:
+    """A row with `name` and `value` for each number of a JSON object; bodies that are no object give none."""
+    return rows.select(*[c for c in rows.columns if c != body], F.explode(F.from_json(body, "map<string, long>")).alias("name", "value"))
+
+
+def united(lists: list[DataFrame], key: str, value: str) -> DataFrame:
+    """(key, value, origin, given) of several lists: the value of the first list that has the key, that list's number and how many have it."""
+    rows = reduce(DataFrame.unionByName, [t.select(key, value, F.lit(i + 1).alias("origin")) for i, t in enumerate(lists)])
+    return rows.groupBy(key).agg(F.min_by(value, "origin").alias(value), F.min("origin").alias("origin"), F.count("*").alias("given"))

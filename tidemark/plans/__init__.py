@@ -1,3 +1,5 @@
 """Importing this package registers every query in `catalogue.QUERIES` and `catalogue.SQL`."""
 
-from tidemark.plans import analytics, catalogue, documents, gates, lifecycle, reader, relational, textual, topics, trends, vocabulary  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    analytics, catalogue, documents, gates, lifecycle, reader, relational, sources, textual, topics, trends, upkeep, vocabulary, writes,
+)
