@@ -24,28 +24,48 @@ def long_enough(text: Column, latin: int = 400, cjk: int = 150) -> Column:
     return F.coalesce(F.length(text), F.lit(0)) >= F.when(cjk_ratio(text) > 0.15, cjk).otherwise(latin)
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def detect_language(text: Column) -> Column:
-    """Struct (lang, confidence) from the whole text; null and blank texts are `other` with confidence 0."""
-    text = F.coalesce(text, F.lit(""))
-    share = lambda chars: F.regexp_count(text, F.lit(chars)) / F.length(text)
-    kana, han = share(KANA), share(HAN)
-    foreign = share(HANGUL) > 0.05
-    for chars in FOREIGN:
-        foreign = foreign | (share(chars) > 0.05)
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\s]", " "), r"\s+"), lambda w: w != "")
-    among = lambda known: F.size(F.filter(words, lambda w: w.isin(known))).cast("double")
-    en, other = among(EN), among(OTHER_LATIN)
-    de = among(DE) + 0.5 * F.regexp_count(text, F.lit(UMLAUTS)) + 0.5 * F.size(F.filter(words, lambda w: F.length(w) > 14))
-    total = en + de + other
+    """Struct (lang, confidence) from the whole text; null and blank texts are `other` with confidence 0.
+
+    The text is cut into words once; one pass keeps those that any list knows and the long ones, which are few, and the lists count in them.
+    Scripts are counted only in texts that have a character beyond the Latin ones.
+    """
     one = lambda lang, confidence: F.struct(F.lit(lang).alias("lang"), F.least(F.lit(1.0), confidence).cast("double").alias("confidence"))
-    return (
-        F.when(F.trim(text) == "", one("other", F.lit(0.0)))
-        .when(kana > 0.02, one("ja", 0.7 + kana * 3))
-        .when(han > 0.15, one("zh", 0.7 + han))
-        .when(foreign, one("other", F.lit(0.9)))
-        .when(F.size(words) < 8, one("en", F.lit(0.3)))
-        .when(total == 0, one("en", F.lit(0.35)))
-        .when((other > en) & (other > de), one("other", other / total))
-        .when(de > en, one("de", de / total))
-        .otherwise(one("en", en / total))
-    )
+
+    def judged(t):
+        share = lambda chars: F.regexp_count(t, F.lit(chars)) / F.length(t)
+        foreign = share(HANGUL) > 0.05
+        for chars in FOREIGN:
+            foreign = foreign | (share(chars) > 0.05)
+        script = _let(
+            F.struct(share(KANA).alias("kana"), share(HAN).alias("han")),
+            lambda s: F.when(s["kana"] > 0.02, one("ja", 0.7 + s["kana"] * 3)).when(s["han"] > 0.15, one("zh", 0.7 + s["han"])).when(foreign, one("other", F.lit(0.9))),
+        )
+        script = F.when(t.rlike(r"[^\x{0}-\x{24F}]"), script)
+        words = F.filter(F.split(F.regexp_replace(F.lower(t), r"[^\p{L}\s]", " "), r"\s+"), lambda w: w != "")
+        every = sorted({*EN, *DE, *OTHER_LATIN})
+
+        def latin(w):
+            def voted(hits):
+                among = lambda known: F.size(F.filter(hits, lambda x: x.isin(known))).cast("double")
+                de = among(DE) + 0.5 * F.regexp_count(t, F.lit(UMLAUTS)) + 0.5 * F.size(F.filter(hits, lambda x: F.length(x) > 14))
+
+                def decided(v):
+                    total = v["en"] + v["de"] + v["other"]
+                    return (
+                        F.when(total == 0, one("en", F.lit(0.35))).when((v["other"] > v["en"]) & (v["other"] > v["de"]), one("other", v["other"] / total))
+                        .when(v["de"] > v["en"], one("de", v["de"] / total)).otherwise(one("en", v["en"] / total))
+                    )
+
+                return _let(F.struct(among(EN).alias("en"), de.alias("de"), among(OTHER_LATIN).alias("other")), decided)
+
+            return F.when(F.size(w) < 8, one("en", F.lit(0.3))).otherwise(_let(F.filter(w, lambda x: x.isin(every) | (F.length(x) > 14)), voted))
+
+        return F.when(F.trim(t) == "", one("other", F.lit(0.0))).otherwise(F.coalesce(script, _let(words, latin)))
+
+    return _let(F.coalesce(text, F.lit("")), judged)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +41,32 @@ def first_stories(stories: DataFrame) -> DataFrame:
     return stories.alias("s").join(first.alias("f"), same).select("s.id", "f.rep")
 
 
+def band_pairs(stories: DataFrame) -> DataFrame:
+    """Structs a and b (id, source, title, sig) of candidates of different sources that share a band, each pair once: in the first band that they share."""
+    first = stories.groupBy("sig", "source", "title").agg(F.min("id").alias("id"))
+    own = first.select(F.struct("id", "source", "title", "sig").alias("s"), F.posexplode(bands(F.col("sig"))).alias("no", "band"))
+    a, b = own.select(F.col("s").alias("a"), "no", "band"), own.select(F.col("s").alias("b"), "band")
+    both = a.join(b, "band").filter((F.col("a.id") < F.col("b.id")) & (F.col("a.source") != F.col("b.source")))
+    differ = F.col("a.sig").bitwiseXOR(F.col("b.sig"))
+    earlier = F.when(F.col("no") == 0, F.lit(False))
+    for no in (1, 2, 3):
+        shared = [F.shiftrightunsigned(differ, 16 * i).bitwiseAND(F.lit(65535)) == 0 for i in range(no)]
+        earlier = earlier.when(F.col("no") == no, reduce(Column.__or__, shared))
+    return both.filter(~earlier).select("a", "b")
+
+
 def near_pairs(stories: DataFrame, merge: int = 3, maybe: int = 16) -> DataFrame:
-    """(id, source, title, sig) to candidate pairs with an outcome: auto, title, ambiguous or reject.
+    """(id, source, title, sig) to candidate pairs with an outcome: auto, title or ambiguous; pairs that are neither near nor alike in title are rejected.
 
     Candidates share a band and differ in source; stories of one source with equal signature and title are one candidate, the
     first of them. `first_stories` leads from every story to its candidate, so that each has its outcomes without a row for each pair of copies.
     """
-    first = stories.groupBy("sig", "source", "title").agg(F.min("id").alias("id"))
-    banded = first.select("*", F.explode(bands(F.col("sig"))).alias("band"))
-    a, b = banded.alias("a"), banded.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.source") != F.col("b.source")))
-    pairs = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))).alias("distance"), title_overlap(F.col("a.title"), F.col("b.title")).alias("overlap")).distinct()
+    pairs = band_pairs(stories)
+    pairs = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))).alias("distance"), title_overlap(F.col("a.title"), F.col("b.title")).alias("overlap"))
     outcome = F.when(F.col("distance") <= merge, "auto").when((F.col("distance") > maybe) | (F.col("overlap") < 0.25), "reject").when(F.col("overlap") >= 0.6, "title").otherwise("ambiguous")
-    return pairs.withColumn("outcome", outcome)
+    return pairs.withColumn("outcome", outcome).filter("outcome <> 'reject'")
+
+
+def recent(stories: DataFrame, at: str, as_of: str, hours: int = 48) -> DataFrame:
+    """The stories of the hours before `as_of`: what a run compares, so that a band's pairs are bounded by what those hours bring."""
+    return stories.filter(F.col(at) > F.lit(as_of).cast("timestamp_ntz") - F.make_interval(hours=F.lit(hours)))
