@@ -18,7 +18,7 @@ from tidemark.llm.quality import fit_quality, score_quality
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of low quality; the classifier learns from the labels of those that came in."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), Scratch(spark, "pipeline-quality"))
     return score_quality(docs, model).filter("kept").select("row.*")
 
 

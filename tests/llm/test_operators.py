@@ -245,15 +245,15 @@ def labelled(spark, n=400):
 def test_quality(spark):
     docs, labels, truth = labelled(spark)
     seen = labels.filter("doc_id % 2 = 0")
-    model = quality.fit_quality(docs, seen)
+    model = quality.fit_quality(docs, seen, Scratch(spark, "t5"), confident=0.9)
     assert sum(model.taught) > 0
     got = quality.score_quality(docs, model).select("row.doc_id", "score", "kept").collect()
     held = [r for r in got if r.doc_id % 2]
     assert np.mean([r.kept == truth[r.doc_id] for r in held]) > 0.97
-    assert sorted(got) == sorted(quality.score_quality(docs.repartition(5), quality.fit_quality(docs.repartition(3), seen)).select("row.doc_id", "score", "kept").collect())
+    assert sorted(got) == sorted(quality.score_quality(docs.repartition(5), quality.fit_quality(docs.repartition(3), seen, Scratch(spark, "t5"), confident=0.9)).select("row.doc_id", "score", "kept").collect())
     odd = spark.createDataFrame([(None, None, None, None, None, 1, 2.0), (1, "", "xx", "", -5, 1, 2.0), (1, "x" * 10**6, "en", "s", 10**6, 1, 2.0)], DOCS + ", kept int, score double")
     assert [r.score is not None for r in quality.score_quality(odd, model).collect()] == [True] * 3
-    assert quality.fit_quality(docs, labels.limit(0)) is None and quality.fit_quality(docs.limit(0), labels) is None
+    assert quality.fit_quality(docs, labels.limit(0), Scratch(spark, "t5")) is None and quality.fit_quality(docs.limit(0), labels, Scratch(spark, "t5")) is None
     assert all(r.kept and r.score is None for r in quality.score_quality(odd, None).collect())
     assert quality.score_quality(docs.limit(0), model).count() == 0
 

@@ -18,7 +18,7 @@ WIDTH, RECALL, MATES = 1.6, 0.98, 256
 #: Bits of a sketch, and the chance with which it may part a pair at the threshold.
 BITS, SLIP = 128, 1e-9
 #: A bucket of more vectors is dealt out as pairs of chunks of about this many.
-CHUNK = 512
+CHUNK = 1024
 
 
 def same_cell(distance: float, width: float = WIDTH) -> float:

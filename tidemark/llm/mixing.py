@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by thresholds on a hash of the document id."""
+"""Mixing sources to target weights by thresholds on a hash of each document."""
 
 from __future__ import annotations
 
@@ -20,8 +20,9 @@ def words(text="text"):
 
 
 def id_hash():
-    """48 bits of MD5 of the decimal id; a null id hashes as the empty string."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+    """48 bits of MD5 of the decimal id and the text's MD5, so that rows which share an id have hashes of their own; nulls are empty."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -84,7 +85,7 @@ def _times(most: int):
 def mix_plan(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, times): how often the mix takes each document.
 
-    Null texts have size 0; null sources are one source; rows with the same id share their hash and so their
+    Null texts have size 0; null sources are one source; rows with the same id and text share their hash and so their
     fate; an empty table gives an empty plan. Other columns of `docs` are ignored.
     """
     base, cut = thresholds(docs, scratch, weights, most)
@@ -94,7 +95,7 @@ def mix_plan(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, most: int = MOS
 def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: each row of `docs`, repeated as often as the plan takes it.
 
-    A row's source and the hash of its id decide, against one row of thresholds per source: Spark
+    A row's source and hash decide, against one row of thresholds per source: Spark
     broadcasts those where they are small, so texts are not shuffled.
     """
     _, cut = thresholds(docs, scratch, weights, most)
@@ -111,7 +112,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS h
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h
   FROM documents
 ), sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 weighted AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM sizes),
