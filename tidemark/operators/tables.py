@@ -24,6 +24,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _same(a: DataFrame, b: DataFrame, column: str, how: str) -> DataFrame:
+    """A semi- or anti-join on one column in which null is a value like others."""
+    return a.join(b.select(F.col(column).alias("_same")), F.col(column).eqNullSafe(F.col("_same")), how)
+
+
 class Table:
     """A folder of parquet partitions by `part`, an expression over the rows that is kept as the column of that name."""
 
@@ -53,9 +58,9 @@ class Table:
         aside = f"{self.path}-{uuid.uuid4().hex[:8]}"
         touched.select(F.col(touched.columns[0]).alias(self.part)).distinct().write.parquet(f"{aside}/parts")
         parts = self.spark.read.schema(f"`{self.part}` {self.schema[self.part].dataType.simpleString()}").parquet(f"{aside}/parts")
-        f(self.read().join(parts, self.part, "left_semi")).select(self.schema.names).write.parquet(f"{aside}/rows")
+        f(_same(self.read(), parts, self.part, "left_semi")).select(self.schema.names).write.parquet(f"{aside}/rows")
         new = self.spark.read.schema(self.schema).parquet(f"{aside}/rows")
-        emptied = parts.join(new.select(self.part).distinct(), self.part, "left_anti")
+        emptied = _same(parts, new.select(self.part).distinct(), self.part, "left_anti")
         self._write(new, "overwrite")
         self._drop(emptied)
         self._delete(aside)
@@ -119,6 +124,6 @@ def merge_stories(stories: DataFrame, members: DataFrame, pairs: DataFrame) -> t
 
 def roll_up(items: Table, cube: Table, month: str, measures: list[Column], dirty: DataFrame, pruned: DataFrame) -> None:
     """Recomputes the cube's months that late rows made dirty (one column), but none that is pruned: its rows are gone."""
-    months = dirty.select(F.col(dirty.columns[0]).alias(month)).distinct().join(pruned.select(F.col(pruned.columns[0]).alias(month)), month, "left_anti")
-    rows = items.read().join(months, month, "left_semi").groupBy(month).agg(*measures)
+    months = _same(dirty.select(F.col(dirty.columns[0]).alias(month)).distinct(), pruned.select(F.col(pruned.columns[0]).alias(month)), month, "left_anti")
+    rows = _same(items.read(), months, month, "left_semi").groupBy(month).agg(*measures)
     cube.replace(rows)
