@@ -173,3 +173,8 @@ def longest_noun(definition: Column, nouns: dict[str, str]) -> Column:
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(definition, F.lit(""))), F.lit(" "))
     order = sorted(nouns, key=lambda n: (-len(n), n))
     return F.coalesce(*[F.when(F.contains(padded, F.lit(f" {n} ")), F.lit(nouns[n])) for n in order], F.lit(None).cast("string"))
+
+
+def linkblog(items: Column, domains: Column) -> Column:
+    """Whether a source's links are so scattered that it only points elsewhere: six items, more than two domains and one for each three items at least."""
+    return (items >= 6) & (domains > 2) & (domains / items > 1 / 3)
