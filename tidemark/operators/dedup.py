@@ -15,7 +15,7 @@ def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(F.struct(order, "id")).alias("k"), F.count("*").alias("members")).select(key, F.col("k.id").alias("keeper"), "members")
 
 
-def simhash(text: Column, hashed=F.xxhash64) -> Column:
+def simhash(text: Column, hashed=lambda x: F.xxhash64(x)) -> Column:
     """64-bit simhash of a text's features, words twice and pairs once: bit k is set where more of them have it than not. `hashed` takes a feature to 64 bits."""
     hashes = F.transform(features(text), hashed)
     one = F.lit(1).cast("long")
