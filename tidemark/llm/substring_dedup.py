@@ -407,3 +407,15 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, contents: int = CONTENTS
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs, Scratch(spark, "op6")).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+j AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, greatest(len(w), 1) + 1)) AS i FROM w),
+k AS (SELECT doc_id, i, n, w[i] AS word, CASE WHEN i + 19 <= n THEN array_to_string(w[i:i + 19], ' ') END AS win FROM j),
+r AS (SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM k),
+c AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r)
+SELECT doc_id, any_value(n)::BIGINT AS n_words, count(*) FILTER (gone AND i <= n)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone AND i <= n), '')) AS kept_sha256
+FROM c GROUP BY doc_id
+"""
