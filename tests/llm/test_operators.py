@@ -452,6 +452,23 @@ def test_ngram_ties(spark):
     assert ngram_join.join_ngrams(df.limit(0), Scratch(spark, "t10")).count() == 0
 
 
+def test_words_of_slices():
+    """Parts of a batch have the words of the whole, without nulls and with them, lower-cased and not."""
+    import pyarrow as pa
+
+    from tidemark.llm.common import portions, word_hashes
+
+    rng = random.Random(1)
+    for share in (0, 0.2):
+        texts = pa.array([None if rng.random() < share else " ".join(rng.choices(["Big", "SMALL", "words", "ÀÉ"], k=rng.randrange(60))) for _ in range(500)])
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        for lower in (False, True):
+            hashes, at = word_hashes(texts, lower)
+            parts = [word_hashes(p["text"], lower) for p in portions(batch, size=1000)]
+            assert len(parts) > 5 and np.concatenate([h for h, _ in parts]).tolist() == hashes.tolist()
+            assert np.concatenate([np.diff(a) for _, a in parts]).tolist() == np.diff(at).tolist()
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import one_batch, table
+from tidemark.llm.common import one_batch, portions, table
 
 #: Pieces whose ids a worker remembers, and token pairs; beyond them it starts afresh. Bounds of memory, not of the input.
 PIECES, PAIRS = 500_000, 500_000
@@ -40,8 +40,9 @@ class BytePairEncoder:
             if rank not in self.alone:
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pairs: dict[int, bool] = {}  # by the first token's number in the upper bits
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.decimal = {rank: str(rank) for rank in self.bytes_of}
 
     def merge(self, piece: bytes) -> list[int]:
         """Merges the neighbours of lowest rank, leftmost first, until no neighbours have one: the definition, for short pieces."""
@@ -62,7 +63,7 @@ class BytePairEncoder:
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, a: int, b: int) -> bool:
-        pair = (a, b)
+        pair = a << 32 | b
         known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= PAIRS:
@@ -83,7 +84,7 @@ class BytePairEncoder:
             token = None
             if options is None:
                 size, token = longest[place]
-                if (last >= 0 and not (pairs[last, token] if (last, token) in pairs else may_follow(last, token))) or place + size in closed:
+                if (last >= 0 and not (pairs[pair] if (pair := last << 32 | token) in pairs else may_follow(last, token))) or place + size in closed:
                     options = self._shorter(piece, place + 1, size)
                     token = None
             while token is None and options:
@@ -108,22 +109,21 @@ class BytePairEncoder:
         found = ((i, self.ranks.get(piece[start : start + i])) for i in range(1, size))
         return [(i, rank) for i, rank in found if rank is not None and rank not in self.alone]
 
-    def encode(self, pieces: list[str]) -> list[tuple[tuple[int, ...], str]]:
-        """For each text piece that the pattern has split its ids, and those in decimal."""
+    def encode(self, pieces: list[str]) -> list[int]:
+        """The ids of the text pieces that the pattern has split, one piece after another."""
         out = list(map(self.pieces.get, pieces))
         if None in out:
             for i, known in enumerate(out):
                 if known is None:
                     known = self.pieces.get(p := pieces[i])
                     if known is None:
-                        ids = tuple(self.encode_piece(p.encode()))
-                        known = ids, ",".join(map(str, ids))
+                        known = tuple(self.encode_piece(p.encode()))
                         if len(p) <= 64:
                             if len(self.pieces) >= PIECES:
                                 self.pieces.clear()
                             self.pieces[p] = known
                     out[i] = known
-        return out
+        return list(chain.from_iterable(out))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -172,6 +172,17 @@ def encoder(data: bytes) -> BytePairEncoder:
     return _ENCODERS[key]
 
 
+def _without_gc(batches):
+    """The batches, with the collector off while they last: nothing here makes cycles, and scanning what is remembered takes half the time."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        if on:
+            gc.enable()
+
+
 def _default_vocabulary() -> tuple[bytes, str]:
     import public_tokenizers
 
@@ -190,17 +201,15 @@ def tokenize(docs: DataFrame, vocabulary: bytes | None = None, pattern: str | No
     data, split = vocabulary or given, pattern or own
 
     def run(batches):
-        gc.disable()  # nothing here makes cycles, and scanning what is remembered takes half the time
         enc, pieces = encoder(data), splitter(split)
-        for b in one_batch(batches):
+        for b in _without_gc(part for batch in one_batch(batches) for part in portions(batch)):
             n, ids_out, ids_hash, back_hash = [], [], [], []
             for text in b["text"].to_pylist():
-                coded = enc.encode(pieces(text or ""))
-                ids = list(chain.from_iterable([x[0] for x in coded]))
+                ids = enc.encode(pieces(text or ""))
                 n.append(len(ids))
                 if with_ids:
                     ids_out.append(ids)
-                ids_hash.append(hashlib.sha256(",".join([x[1] for x in coded]).encode()).hexdigest())
+                ids_hash.append(hashlib.sha256(",".join(map(enc.decimal.__getitem__, ids)).encode()).hexdigest())
                 back_hash.append(hashlib.sha256(enc.decode(ids)).hexdigest())
             columns = {"doc_id": b["doc_id"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash), "decoded_sha256": pa.array(back_hash)}
             if with_ids:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Code points that separate words: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes of a batch that goes to a Python worker: rows may hold texts of any length, and a worker holds several copies of a batch.
+BATCH_BYTES = 4 << 20
 #: Rows without an id count as coming after all others.
 LAST = (1 << 63) - 1
 
@@ -29,7 +31,8 @@ class Scratch:
     """Tables in the shared folder that the cluster names in spark.checkpoint.dir.
 
     What is written there survives lost executors. Only a local session without the setting
-    (tests, a laptop) gets a temporary folder; a cluster without it is refused.
+    (tests, a laptop) gets a temporary folder; a cluster without it is refused. Where the session
+    sets no bound on the bytes of a batch for Python, it gets `BATCH_BYTES`.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -39,6 +42,8 @@ class Scratch:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
             spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
@@ -66,9 +71,11 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     Null texts have no words. Each distinct word of the batch is hashed once.
     """
     texts = pc.fill_null(texts, "")
+    if lower:  # before the cast: what a cast makes of a slice, ascii_lower reads from the wrong place
+        texts = pc.ascii_lower(texts)
     if pa.types.is_string(texts.type):
         texts = texts.cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     words, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
     real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
@@ -89,8 +96,9 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def one_batch(batches):
-    """The batches of a task, without those that hold no row."""
-    return (b for b in batches if b.num_rows)
+    """The batches of a task, without those that hold no row. A worker serves many tasks, so what the last one freed goes back."""
+    yield from (b for b in batches if b.num_rows)
+    pa.default_memory_pool().release_unused()
 
 
 def portions(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20):
@@ -102,3 +110,8 @@ def portions(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20):
 
 def doc_key(name: str = "doc_id"):
     return F.coalesce(F.col(name).cast("long"), F.lit(LAST))
+
+
+def own_key(text, name: str = "doc_id"):
+    """The id, and for rows without one a key beyond ids of 62 bits that their text gives: equal texts share it, others have their own."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 61)))

@@ -12,29 +12,28 @@ from tidemark.llm.common import Scratch
 HUB = 512
 
 
-def _with_least(edges: DataFrame, own: bool, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, m): each edge with the least neighbour of a, a itself included if `own`.
+def _with_least(edges: DataFrame, own: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b, m): each edge with the least neighbour of a, a itself included if `own`; and (a, m) by itself.
 
-    Minima are summed map-side. Those of hubs are a table of their own, at most 1/HUB of the edges, that Spark sends to the edges if
-    its size allows; so the many edges of a hub stay where they are and only the others are shuffled to their minimum.
+    Minima are summed map-side. Those of hubs are few, 1/HUB of the edges at most: where their size allows, Spark sends them to the
+    edges. What has its minimum already is dealt by b, so a hub's many edges do not meet in a task; only the others go to their minimum.
     """
     m = F.min("b")
     least = edges.groupBy("a").agg((F.least("a", m) if own else m).alias("m"), F.count("*").alias("n"))
-    hubs = scratch.write(least.filter(F.col("n") > HUB).select("a", F.col("m").alias("hub_m")), f"{name}-hubs")
-    marked = edges.join(hubs, "a", "left")
-    rest = marked.filter("hub_m IS NULL").select("a", "b").join(least.filter(F.col("n") <= HUB).select("a", "m"), "a")
-    return rest.unionByName(marked.filter("hub_m IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")))
+    hubs = least.filter(F.col("n") > HUB).select("a", F.col("m").alias("hub_m"))
+    marked = edges.join(hubs, "a", "left").withColumns({"done": F.col("hub_m").isNotNull(), "k": F.when(F.col("hub_m").isNull(), F.col("a")).otherwise(F.col("b"))})
+    others = least.filter(F.col("n") <= HUB).select(F.col("a").alias("k"), "m", F.lit(False).alias("done"))
+    return marked.join(others, ["k", "done"], "left").select("a", "b", F.coalesce("hub_m", "m").alias("m")), least.select("a", "m")
 
 
-def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return _with_least(both, True, scratch, name).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    return _with_least(both, True)[0].filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
-def _small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    moved = _with_least(down, False, scratch, name)
-    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(moved.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+def _small_star(edges: DataFrame) -> DataFrame:
+    moved, least = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False)
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataFrame:
@@ -47,9 +46,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataF
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct()
     seen = None
     for k in range(100):
-        if k:
-            large = scratch.write(_large_star(edges, scratch, f"{name}-{k}-large"), f"{name}-{k}-large")
-            edges = _small_star(large, scratch, f"{name}-{k}-small")
+        if k:  # each step is written, so that no plan holds the other's several times
+            edges = _small_star(scratch.write(_large_star(edges), f"{name}-{k}-large"))
         edges = scratch.write(edges, f"{name}-{k}")
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if k > 1:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LAST, Scratch, doc_key, one_batch, table
+from tidemark.llm.common import Scratch, one_batch, own_key, portions, table
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 #: Keys of fewer code points never count as repeated.
@@ -37,7 +37,7 @@ def _texts(column) -> list[bytes]:
 
 def _hashes(least):
     def run(batches):
-        for b in one_batch(batches):
+        for b in (part for batch in one_batch(batches) for part in portions(batch)):
             docs, digests, seen = [], [], {}
             for doc, text in zip(b["id"].to_pylist(), _texts(b["text"]), strict=True):
                 for key in set(line_keys(text)):
@@ -119,7 +119,7 @@ def _rebuild(least):
     """Appends what is left of each text; the text itself comes from a column of the row's struct."""
 
     def run(batches):
-        for b in one_batch(batches):
+        for b in (part for batch in one_batch(batches) for part in portions(batch)):
             n_lines, n_dropped, kept = [], [], []
             ends = np.cumsum(b["owned"].value_lengths().fill_null(0).to_numpy())
             flat = b["owned"].flatten()
@@ -144,12 +144,13 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST, batches:
     of a key. Texts are shuffled once, by document.
 
     Null or empty texts are one empty line. Rows with the same doc_id count as one document: they lose nothing
-    to each other. Rows without an id count as one document after all others. An empty table gives an empty
+    to each other. Rows without an id come after all others, each text a document of its own. An empty table gives an empty
     result. Extra columns pass through in `row`, whatever their names.
     """
     spark = scratch.spark
-    rows = docs.select(doc_key().alias("id"), F.col("text").cast("string").alias("text"))
-    lo, hi = rows.agg(F.min("id"), F.max(F.when(F.col("id") < LAST, F.col("id")))).first()
+    text = F.col("text").cast("string")
+    rows = docs.select(own_key(text).alias("id"), text.alias("text"))
+    lo, hi = docs.select(F.col("doc_id").cast("long").alias("id")).agg(F.min("id"), F.max("id")).first()
     index = LineIndex(spark, scratch, fanout)
     step = max(1, ((hi if hi is not None else lo or 0) - (lo or 0)) // batches + 1)
     for k in range(batches):
@@ -157,7 +158,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, least: int = LEAST, batches:
         part = part.filter(f"id < {(lo or 0) + (k + 1) * step}" if k < batches - 1 else "true")
         index.add(part.mapInArrow(_hashes(least), "h1 long, h2 long, owner long"))
     owned = index.owned().groupBy(F.col("owner").alias("_owner")).agg(F.collect_list(F.struct("h1", "h2")).alias("owned"))
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_key().alias("_id"), F.col("text").cast("string").alias("text"))
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own_key(text).alias("_id"), text.alias("text"))
     joined = held.join(owned, F.col("_id") == F.col("_owner"), "left").select("row", "text", "owned")
     schema = joined.select("row").schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
     return joined.mapInArrow(_rebuild(least), schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, gram_hashes, mix, one_batch, table, word_hashes
+from tidemark.llm.common import Scratch, gram_hashes, mix, one_batch, portions, table, word_hashes
 from tidemark.llm.components import components
 from tidemark.llm.embedding_dedup import _runs
 
@@ -62,7 +62,7 @@ def _seeds(bands: int, rows: int) -> np.ndarray:
 def _signatures(n, bands, rows):
     def run(batches):
         seeds = _seeds(bands, rows)
-        for b in one_batch(batches):
+        for b in (part for batch in one_batch(batches) for part in portions(batch)):
             sets = shingle_sets(b["text"], n)
             pair = [(int(s.sum()), int(mix(s).sum())) if len(s) else (0, 0) for s in sets]
             h = np.array(pair, np.uint64).reshape(-1, 2).view(np.int64)
@@ -74,7 +74,7 @@ def _signatures(n, bands, rows):
 
 def _members(n):
     def run(batches):
-        for b in one_batch(batches):
+        for b in (part for batch in one_batch(batches) for part in portions(batch)):
             sets = [x.tobytes() for x in shingle_sets(b["text"], n)]
             yield pa.RecordBatch.from_arrays([b["cluster"], b["i"], b["j"], b["side"], b["id"], pa.array(sets, pa.binary())], ["cluster", "i", "j", "side", "rep", "set"])
 
@@ -233,7 +233,8 @@ def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tupl
 
     placed = _blocks(clusters, classes.select(F.col("rep").alias("id"), "n"), share, block, scratch)
     # texts are dealt out by id at every size: what is in a cluster grows with the corpus
-    members = rows_in.join(placed.hint("merge"), "id").mapInArrow(_filled(_members(n)), "cluster long, i long, j long, side long, rep long, set binary")
+    worded = rows_in.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # a repeated id may have rows without a word
+    members = worded.join(placed.hint("merge"), "id").mapInArrow(_members(n), "cluster long, i long, j long, side long, rep long, set binary")
     members = members.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = scratch.write(members.mapInArrow(_joiner(share), "a long, b long"), "links")
     member = sigs.select("id", "named", "n", "h1", "h2").join(classes.drop("bands"), ["n", "h1", "h2"], "left").select("id", "named", "n", "rep")
@@ -251,21 +252,16 @@ def join_ngrams(docs: DataFrame, scratch: Scratch, n: int = SHINGLE, share: tupl
     return out.select(F.when(F.col("named"), F.col("id")).alias("doc_id"), "n_shingles", component.alias("component_id"))
 
 
-def _filled(f):
-    """The function on the rows with a word only."""
-
-    def run(batches):
-        def some():
-            for b in one_batch(batches):
-                _, at = word_hashes(b["text"])
-                kept = b.filter(pa.array(np.diff(at) > 0))
-                if kept.num_rows:
-                    yield kept
-
-        return f(some())
-
-    return run
-
-
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_ngrams(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op10"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 90 * (na + nb - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+"""
