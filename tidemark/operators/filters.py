@@ -7,7 +7,7 @@ importance, coverage, country and the arrays tags, companies and platforms. `Rea
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, fields, replace
 from datetime import date
 from urllib.parse import parse_qsl, urlencode
 
@@ -127,7 +127,6 @@ class Reader:
     companies: DataFrame | None = None
     platforms: DataFrame | None = None
     reads: DataFrame | None = None
-    names: dict = field(default_factory=dict)
 
 
 def holding(stories: DataFrame, array: str, wanted: DataFrame) -> DataFrame:
