@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import one_batch, portions, table
+from tidemark.llm.common import REMEMBERED, one_batch, portions, table
 
 #: Pieces whose ids a worker remembers, and token pairs; beyond them it starts afresh. Bounds of memory, not of the input.
 PIECES, PAIRS = 500_000, 500_000
@@ -162,6 +162,7 @@ def splitter(pattern: str):
 
 
 _ENCODERS: dict[str, BytePairEncoder] = {}
+REMEMBERED.append(_ENCODERS)
 
 
 def encoder(data: bytes) -> BytePairEncoder:
@@ -202,7 +203,7 @@ def tokenize(docs: DataFrame, vocabulary: bytes | None = None, pattern: str | No
 
     def run(batches):
         enc, pieces = encoder(data), splitter(split)
-        for b in _without_gc(part for batch in one_batch(batches) for part in portions(batch)):
+        for b in _without_gc(part for batch in one_batch(batches, keep=True) for part in portions(batch)):
             n, ids_out, ids_hash, back_hash = [], [], [], []
             for text in b["text"].to_pylist():
                 ids = enc.encode(pieces(text or ""))
@@ -226,7 +227,7 @@ def detokenize(rows: DataFrame, vocabulary: bytes | None = None) -> DataFrame:
 
     def run(batches):
         enc = encoder(data)
-        for b in one_batch(batches):
+        for b in one_batch(batches, keep=True):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([None if x is None else enc.decode(x) for x in b["ids"].to_pylist()], pa.binary())], ["doc_id", "data"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")

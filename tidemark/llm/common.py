@@ -95,8 +95,15 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
-def one_batch(batches):
-    """The batches of a task, without those that hold no row. A worker serves many tasks, so what the last one freed goes back."""
+#: What a worker remembers from task to task, for functions of other operators to forget.
+REMEMBERED: list[dict] = []
+
+
+def one_batch(batches, keep: bool = False):
+    """The batches of a task, without those that hold no row. A worker serves tasks of many operators: unless this one keeps it, what
+    another remembers goes first, and what was freed goes back."""
+    for memory in REMEMBERED if not keep else ():
+        memory.clear()
     yield from (b for b in batches if b.num_rows)
     pa.default_memory_pool().release_unused()
 
