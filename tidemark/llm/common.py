@@ -122,3 +122,16 @@ def doc_key(name: str = "doc_id"):
 def own_key(text, name: str = "doc_id"):
     """The id, and for rows without one a key beyond ids of 62 bits that their text gives: equal texts share it, others have their own."""
     return F.coalesce(F.col(name).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 61)))
+
+
+def _half_byte(x: int) -> int:
+    for _ in range(4):
+        x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for the CRC-32 of a text's UTF-8 bytes, taken by half bytes, the low half first."""
+    halves = f"list_transform(range(0, 2 * octet_length(encode({text}))), lambda k: ('0x' || hex(encode({text}))[(k // 2) * 2 + 2 - k % 2])::BIGINT)"
+    steps = f"[{', '.join(str(_half_byte(x)) for x in range(16))}]::BIGINT[]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda c, x: xor(c >> 4, ({steps})[xor(c & 15, x) + 1])), 4294967295)"
