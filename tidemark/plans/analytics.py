@@ -145,11 +145,6 @@ def t7_word_counts(spark, d):
     return plain.select("doc_id", F.when(F.col("p") == "", 0).otherwise(F.size(F.split("p", " "))).alias("words"), F.size(text.tokens(F.col("p"), 2)).alias("long_words"))
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, ' ' || {_PLAIN} || ' ' AS p FROM documents) WHERE (contains(p, ' of the ') AND contains(p, ' ion ') AND NOT contains(p, ' que ')) OR contains(p, ' nicht ')")
-def x1_text_search(spark, d):
-    return _t(spark, d, "documents").filter(search.matches(F.col("text"), '"of the" ion -que or nicht')).select("doc_id")
-
-
 _GRAMS = "list_distinct(flatten(list_transform(string_split({0}, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 

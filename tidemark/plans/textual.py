@@ -258,10 +258,3 @@ def n5_citations(spark, d):
 def x2_search_ladder(spark, d):
     """All words, else any of them, else the text as it was typed: the first rung that finds something."""
     return search.ladder(_t(spark, d, "part").select("p_partkey", "p_name"), "p_name", "red gear gold").select("p_partkey", "mode")
-
-
-@query("WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents), n AS (SELECT doc_id, len(string_split(trim(t), ' ')) AS words, len(list_filter(string_split(trim(t), ' '), lambda w: w = 'the')) AS a, len(list_filter(string_split(trim(t), ' '), lambda w: w = 'and')) AS b FROM t) SELECT doc_id, round((a + b) / (1 + ln(words)), 9) AS rank FROM n WHERE a > 0 AND b > 0")
-def x3_search_rank(spark, d):
-    """How often the words asked for occur, against the length of the text; not PostgreSQL's cover density, which no built-in has."""
-    t = F.coalesce("text", F.lit(""))
-    return _t(spark, d, "documents").filter(search.matches(t, "the and")).select("doc_id", F.round(search.rank(t, "the and"), 9).alias("rank"))
