@@ -9,8 +9,8 @@ from tidemark.plans.catalogue import _t, query
 
 #: Forms of three stems by hand: what the rules of English take off them.
 _FORMS = {
-    "thing": "thing(?:s|e|es|ed|edly|ing|ings|ingly|ly)?",
-    "ertion": "ertion(?:s|e|es|ed|edly|er|ers|ing|ings|ingly|ly|al|able)?",
+    "thing": "thing(?:s|e|es|ed|edly|ing|ings|ingly|ly|lyed|lying)?",
+    "ertion": "ertion(?:s|e|es|ed|edly|er|ers|ered|erly|ing|ings|ingly|ly|lying|al|e?able|e?ant|e?ation|ates?)?",
     "attion": "attion(?:s|e|es|ed|edly|er|ers|ing|ings|ingly|ly|al|able)?",
     "licens": "licens(?:e|es|ed|er|ers|ing|ings|able)",
 }
@@ -32,11 +32,11 @@ def x1_text_search(spark, d):
 
 
 @query(rf"""
-WITH w AS (SELECT doc_id, unnest({_WORDS}) AS word, unnest(range(len({_WORDS}))) AS at FROM documents),
+WITH w AS (SELECT doc_id, unnest({_WORDS}) AS word, unnest(range(len({_WORDS}))) AS place FROM documents),
 e AS (
-  SELECT doc_id, at, CASE WHEN regexp_full_match(word, '{_FORMS["thing"]}') THEN 'a' WHEN regexp_full_match(word, '{_FORMS["ertion"]}') THEN 'b' WHEN regexp_full_match(word, '{_FORMS["attion"]}') THEN 'c' END AS unit FROM w
-), hits AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS n FROM e WHERE unit IS NOT NULL),
-stretches AS (SELECT x.doc_id, x.at AS p, y.at AS q, x.n AS lo, y.n AS hi FROM hits x JOIN hits y ON x.doc_id = y.doc_id AND y.at >= x.at),
+  SELECT doc_id, place, CASE WHEN regexp_full_match(word, '{_FORMS["thing"]}') THEN 'a' WHEN regexp_full_match(word, '{_FORMS["ertion"]}') THEN 'b' WHEN regexp_full_match(word, '{_FORMS["attion"]}') THEN 'c' END AS unit FROM w
+), hits AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM e WHERE unit IS NOT NULL),
+stretches AS (SELECT x.doc_id, x.place AS p, y.place AS q, x.n AS lo, y.n AS hi FROM hits x JOIN hits y ON x.doc_id = y.doc_id AND y.place >= x.place),
 answers AS (
   SELECT s.* FROM stretches s JOIN hits h ON h.doc_id = s.doc_id AND h.n BETWEEN s.lo AND s.hi GROUP BY ALL
   HAVING bool_or(h.unit = 'a') AND bool_or(h.unit = 'b') OR bool_or(h.unit = 'c')

@@ -311,23 +311,6 @@ def z1_micro_batches(spark, d):
     return t.read().groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
-def z6_stream_dedup(spark, d):
-    """The first event of each user and kind that a stream lets through, by the state that it keeps."""
-    one = _stream(spark, d).dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
-    return ledger.to_table(one, shared_folder(spark, "firsts"))
-
-
-@query("SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS members, count(*) AS hits FROM events GROUP BY 1")
-def z8_running_ledger(spark, d):
-    """A ledger by user that a stream keeps: first and last time, kinds and hits."""
-    folder = shared_folder(spark, "ledger")
-    t = Table(spark, f"{folder}/rows", "bucket")
-    ledger.keep_ledger(_stream(spark, d), t, folder, "user_id", "ts", "event_type")
-    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return t.read().select("user_id", time("first_seen"), time("last_seen"), F.array_join("members", ",").alias("members"), F.aggregate("batches", F.lit(0).cast("long"), lambda n, b: n + b["n"]).alias("hits"))
-
-
 @query("SELECT event_id % 3 AS part, count(*) AS n FROM events GROUP BY 1")
 def z11_cursors(spark, d):
     """A backfill in three runs over a folder that grows: every run starts behind the cursor of the one before, so nothing comes twice."""

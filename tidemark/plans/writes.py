@@ -79,10 +79,3 @@ def z3_late_months(spark, d):
     late = items.append(o.filter("o_orderkey % 50 = 0"))
     roll_up(items, cube, "month", [F.count("*").alias("stories")], late.select("month"), o.filter("month < DATE '1996-01-01'").select("month"))
     return cube.read()
-
-
-@query("SELECT o_custkey AS story, hours, o_orderdate::DATE::VARCHAR AS day FROM (SELECT o_custkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY 1), (SELECT unnest([1, 6, 24, 168]) AS hours) WHERE o_orderdate + INTERVAL 168 HOUR > TIMESTAMP '2001-06-01'")
-def z7_snapshot_timers(spark, d):
-    """The times at which a story's coverage is to be captured; none for stories that are older than the widest offset."""
-    last = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("story")).agg(F.max("o_orderdate").alias("at"))
-    return keyed.timers(last, "at", "2001-06-01", (1, 6, 24, 168)).select("story", F.col("hours").cast("int").alias("hours"), F.col("at").cast("date").cast("string").alias("day"))
