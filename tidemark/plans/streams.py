@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.tables import shared_folder
 from tidemark.plans.catalogue import _t, query
+from tidemark.sources import paged
 from tidemark.streaming import ledger, state
 
 
@@ -79,3 +80,16 @@ def z13_views_to_purchases(spark, d):
     views, purchases = (_stream(spark, d, "events").filter(F.col("event_type") == kind) for kind in ("view", "purchase"))
     got = state.to_table(state.followed(views, purchases, "user_id", "ts", "2 hours", ("event_id",)), shared_folder(spark, "followed"))
     return got.select(F.col("key").alias("user_id"), F.col("first_event_id").alias("view_id"), F.col("then_event_id").alias("purchase_id"))
+
+
+@query("SELECT page_id::VARCHAR AS guid, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS title, url AS link, md5(html) AS body_md5, page_id % 3 + 3 * (page_id // 96) AS page FROM pages WHERE regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) NOT SIMILAR TO '\\s*'")
+def s11_paged_backfill(spark, d):
+    """A backfill of all pages in three runs, each behind the cursor of the one before, so that every page comes once; pages without a title go."""
+    root = shared_folder(spark, "backfill")
+    page = _t(spark, d, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), "url", "html", (F.col("page_id") % 3 + 3 * F.floor(F.col("page_id") / 96)).alias("page"))
+    last, found = page.agg(F.max("page")).first()[0] or 0, None
+    for step in range(3):
+        reach = F.col("page").between(-(-(last + 1) * step // 3), -(-(last + 1) * (step + 1) // 3) - 1)
+        page.filter(reach).repartition("page").write.partitionBy("page").mode("append").json(f"{root}/in")
+        found = ledger.to_table(paged.read_pages(spark, f"{root}/in", "crawl"), root)
+    return found.select("guid", "title", "link", F.md5("body").alias("body_md5"), "page")
