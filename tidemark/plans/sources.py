@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates
 from tidemark.operators import joins
 from tidemark.plans.catalogue import _t, query
-from tidemark.sources import feeds, items
+from tidemark.sources import digests, feeds, items
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\\.', '')"
 
@@ -82,13 +82,20 @@ def s9_feed_discovery(spark, d):
     return _t(spark, d, "pages").select("page_id", F.element_at(tries, 1).alias("first_try"), F.size(tries).alias("tries"))
 
 
-@query("SELECT c_custkey AS id, k AS no, 'Product ' || k AS title, 'Note ' || c_custkey || ' of ' || k AS body FROM customer, range(3) r(k) WHERE c_custkey % 5 > 0 UNION ALL SELECT c_custkey, 0, NULL, 'Plain ' || c_custkey FROM customer WHERE c_custkey % 5 = 0")
+_BLOCK = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+_SAID = f"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({{}}, '(?i)</?(?:{_BLOCK})(?:[ /][^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH h AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS html FROM pages),
+s AS (SELECT page_id, url, unnest(string_split_regex(html, '<h1>')[2:]) AS piece FROM h),
+t AS (SELECT page_id, url, {_SAID.format("string_split(piece, '</h1>')[1]")} AS title, {_SAID.format("array_to_string(string_split(piece, '</h1>')[2:], '')")} AS body FROM s)
+SELECT page_id, 0 AS no, title, md5(body) AS body_md5, string_split(url, '#')[1] || CASE WHEN contains(string_split(url, '#')[1], '?') THEN '&' ELSE '?' END || 'item=' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS link
+FROM t WHERE title <> '' AND body <> ''
+""")
 def s12_digest_parts(spark, d):
-    """Digests in the items that their headings separate."""
-    i = F.col("c_custkey").cast("string")
-    part = lambda k: F.concat(F.lit(f'<h2 class="release-note-product-title big">Product {k}</h2><p>Note '), i, F.lit(f"</p> <b>of</b> {k}"))
-    html = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("<p>Plain "), i, F.lit("</p>"))).otherwise(F.concat(F.lit("<h1>Day</h1>"), *[part(k) for k in range(3)]))
-    return items.digest_parts(_t(spark, d, "customer").select(F.col("c_custkey").alias("id"), html.alias("html")), "release-note-product-title")
+    """The items of every page, by a table function; a page's headings are its items' titles."""
+    return digests.digest_items(spark, _t(spark, d, "pages"), "h1").select("page_id", "no", "title", F.md5("body").alias("body_md5"), "link")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'OG ' || page_id ELSE trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) END AS title, CASE WHEN page_id % 3 = 0 THEN 'Ann' END AS author, CASE WHEN page_id % 2 = 0 THEN 'https://c.example/' || page_id END AS canonical FROM pages WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) <> ''")
