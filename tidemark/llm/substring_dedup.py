@@ -199,21 +199,21 @@ def _pack(tie, start, n):
 def _find(batches):
     """Runs of each text, those first that are the earliest of their content in a portion of the input; the later ones of a
     portion stream through an index of the portion's repeated contents, and what that finds is `gone`."""
-    names = ["gone", "anchor", "content", "id", "packed"]
+    names = ["gone", "anchor", "content", "id", "sub", "packed"]
     for b in one_batch(batches):
-        ids, ties, done = b["id"].to_numpy(), b["tie"].to_numpy(), 0
+        ids, subs, ties, done = b["id"].to_numpy(), b["sub"].to_numpy(), b["tie"].to_numpy(), 0
         for part in portions(b):
             words, at = word_hashes(part["text"])
             text, start, n, anchor, content = anchored_runs(words, at)
-            doc, packed = ids[done + text], _pack(ties[done + text], start, n)
+            doc, sub, packed = ids[done + text], subs[done + text], _pack(ties[done + text], start, n)
             done += part.num_rows
             if not len(text):
                 continue
-            order = np.lexsort((packed, doc, content, anchor))
+            order = np.lexsort((packed, sub, doc, content, anchor))
             same = (anchor[order[1:]] == anchor[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
             first = np.concatenate([[True], ~same])
             heads = order[first]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(heads), bool)), pa.array(anchor[heads].view(np.int64)), pa.array(content[heads].view(np.int64)), pa.array(doc[heads]), pa.array(packed[heads])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(heads), bool)), pa.array(anchor[heads].view(np.int64)), pa.array(content[heads].view(np.int64)), pa.array(doc[heads]), pa.array(sub[heads]), pa.array(packed[heads])], names)
             group = np.cumsum(first) - 1
             twice = np.bincount(group) > 1
             if not twice.any():
@@ -222,10 +222,10 @@ def _find(batches):
             later = order[~first]
             lo = at[text[heads]] + start[heads]
             passages = [words[i:j] for i, j in zip(lo, lo + n[heads] + WINDOW - 1, strict=True)]
-            found, _ = earlier_windows(passages, doc[heads], packed[heads], renumbered[group[~first]], doc[later], packed[later])
-            for who, at_ in found:
-                none = pa.array(np.zeros(len(who), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(who), bool)), none, none, pa.array(who), pa.array(at_)], names)
+            found, _ = earlier_windows(passages, (doc[heads], sub[heads], packed[heads]), renumbered[group[~first]], (doc[later], sub[later], packed[later]))
+            for gone in found:
+                none = pa.array(np.zeros(len(gone[0]), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(gone[0]), bool)), none, none, *map(pa.array, gone)], names)
 
 
 def _cut_out(batches):
@@ -238,22 +238,23 @@ def _cut_out(batches):
         packed = flat.field("packed").to_numpy()
         lo = at[text] + ((packed >> _N_BITS) & ((1 << _S_BITS) - 1))
         out = [words[i:j].tobytes() for i, j in zip(lo, lo + (packed & ((1 << _N_BITS) - 1)) + WINDOW - 1, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("anchor", "chunk", "hot", "content")), pa.array(b["id"].to_numpy()[text]), flat.field("packed"), pa.array(out, pa.binary())], ["anchor", "chunk", "hot", "content", "id", "packed", "words"])
+        yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("anchor", "chunk", "hot", "content")), *(pa.array(b[c].to_numpy()[text]) for c in ("id", "sub")), flat.field("packed"), pa.array(out, pa.binary())], ["anchor", "chunk", "hot", "content", "id", "sub", "packed", "words"])
 
 
 def _unpack(packed):
     return packed >> (_N_BITS + _S_BITS), (packed >> _N_BITS) & ((1 << _S_BITS) - 1), packed & ((1 << _N_BITS) - 1)
 
 
-def earlier_windows(passages: list[np.ndarray], doc: np.ndarray, packed: np.ndarray, of: np.ndarray, copy_doc: np.ndarray, copy_packed: np.ndarray):
-    """Indexes passages (words, document, place) and streams them, and copies of them (`of` numbers the passage, which no copy comes before), through the index.
+def earlier_windows(passages: list[np.ndarray], own: tuple[np.ndarray, ...], of: np.ndarray, copies: tuple[np.ndarray, ...]):
+    """Indexes passages (words; id, sub and packed place of each) and streams them, and copies of them (`of` numbers the passage, which no copy comes before), through the index.
 
-    Returns intervals of windows that occur at an earlier place, a pair of (documents, packed places) at a time, and (passage, offset,
+    Returns intervals of windows that occur at an earlier place, (ids, subs, packed places) at a time, and (passage, offset,
     window hash) of the passages' windows that do not. A passage's matching statistics are the same for all its copies, so it is searched
     once, and each copy compares the earliest places found with its own.
     """
-    (tie, start, n), sizes = _unpack(packed), np.array([len(p) for p in passages], np.int64)
-    copy_tie, copy_start, _ = _unpack(copy_packed)
+    every_doc, every_sub, every_packed = (np.concatenate(both) for both in zip(own, copies, strict=True))
+    every_tie, every_start, every_n = _unpack(every_packed)
+    n, sizes = every_n[: len(passages)], np.array([len(p) for p in passages], np.int64)
     symbols = np.concatenate(passages)
     distinct, coded = np.unique(symbols, return_inverse=True)
     at = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -261,11 +262,10 @@ def earlier_windows(passages: list[np.ndarray], doc: np.ndarray, packed: np.ndar
     inside[at[1:] - 1] = False
     seq = np.zeros(at[-1], np.int64)
     seq[inside] = coded + 1
-    every_doc, every_tie = np.concatenate([doc, copy_doc]), np.concatenate([tie, copy_tie])
-    order, rank = np.lexsort((every_tie, every_doc)), np.zeros(len(every_doc), np.int64)
-    rank[order[1:]] = np.cumsum((np.diff(every_doc[order]) != 0) | (np.diff(every_tie[order]) != 0))
-    key = (rank << 32) + np.concatenate([start, copy_start])
-    values = np.repeat(key[: len(doc)], sizes + 1) + (np.arange(at[-1]) - np.repeat(at[:-1], sizes + 1))
+    order, rank = np.lexsort((every_tie, every_sub, every_doc)), np.zeros(len(every_doc), np.int64)
+    rank[order[1:]] = np.cumsum(np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (every_doc, every_sub, every_tie)]))
+    key = (rank << 32) + every_start
+    values = np.repeat(key[: len(passages)], sizes + 1) + (np.arange(at[-1]) - np.repeat(at[:-1], sizes + 1))
     index = FMIndex(seq, len(distinct) + 1, values=values)
     base = np.concatenate([[0], np.cumsum(n)])
     least = np.zeros(base[-1], np.int64)  # the earliest place of each window, passage by passage
@@ -273,21 +273,20 @@ def earlier_windows(passages: list[np.ndarray], doc: np.ndarray, packed: np.ndar
         hit = np.flatnonzero(length >= WINDOW)
         if len(hit):
             least[base[who[hit]] + place[hit] - at[who[hit]]] = index.least[index.pattern_class(row[hit])]
-    out, doc_of, key_of = [], every_doc, key
-    source = np.concatenate([np.arange(len(doc)), of])
+    out, source = [], np.concatenate([np.arange(len(passages)), of])
     for lo in range(0, len(source), SLICE):
         unit = np.arange(lo, min(len(source), lo + SLICE))
         count = n[source[unit]]
         ends = np.cumsum(count)
         who = np.repeat(unit, count)
         offset = np.arange(ends[-1]) - np.repeat(ends - count, count)
-        early = np.flatnonzero(least[base[source[who]] + offset] < key_of[who] + offset)
+        early = np.flatnonzero(least[base[source[who]] + offset] < key[who] + offset)
         who, offset = who[early], offset[early]
         new = np.flatnonzero(np.concatenate([[True], (np.diff(offset) != 1) | (np.diff(who) != 0)])) if len(who) else np.zeros(0, np.int64)
         length = np.diff(np.append(new, len(who)))
         who, offset = who[new], offset[new]
-        out.append((doc_of[who], _pack(every_tie[who], np.concatenate([start, copy_start])[who] + offset, length)))
-    who = np.repeat(np.arange(len(doc)), n)
+        out.append((every_doc[who], every_sub[who], _pack(every_tie[who], every_start[who] + offset, length)))
+    who = np.repeat(np.arange(len(passages)), n)
     offset = np.arange(base[-1]) - np.repeat(base[:-1], n)
     mine = np.flatnonzero(least == key[who] + offset)
     hashed = np.zeros(len(seq), np.uint64)
@@ -298,21 +297,22 @@ def earlier_windows(passages: list[np.ndarray], doc: np.ndarray, packed: np.ndar
 def _search(tables):
     """One index over whole groups of (anchor, chunk); rows without words are copies of the row with words before them."""
     t = pa.concat_tables(tables).combine_chunks()
-    doc, packed, anchor = t["id"].to_numpy(), t["packed"].to_numpy(), t["anchor"].to_numpy()
+    places, anchor = tuple(t[c].to_numpy() for c in ("id", "sub", "packed")), t["anchor"].to_numpy()
     head = t["words"].is_valid().to_numpy()
     passages = [np.frombuffer(w, np.uint64) for w in t["words"].filter(pa.array(head)).to_pylist()]
     of = np.cumsum(head) - 1
-    found, (who, offset, window) = earlier_windows(passages, doc[head], packed[head], of[~head], doc[~head], packed[~head])
-    names = ["open", "id", "packed", "anchor", "window"]
-    for d, p in found:
-        if len(d):
-            none = pa.array(np.zeros(len(d), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), bool)), pa.array(d), pa.array(p), none, none], names)
+    own = tuple(x[head] for x in places)
+    found, (who, offset, window) = earlier_windows(passages, own, of[~head], tuple(x[~head] for x in places))
+    names = ["open", "id", "sub", "packed", "anchor", "window"]
+    for gone in found:
+        if len(gone[0]):
+            none = pa.array(np.zeros(len(gone[0]), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(gone[0]), bool)), *map(pa.array, gone), none, none], names)
     mine = np.flatnonzero(t["hot"].to_numpy()[head][who])
     if len(mine):
         who, offset = who[mine], offset[mine]
-        tie, start, _ = _unpack(packed[head][who])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(who), bool)), pa.array(doc[head][who]), pa.array(_pack(tie, start + offset, 1)), pa.array(anchor[head][who]), pa.array(window[mine])], names)
+        tie, start, _ = _unpack(own[2][who])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(who), bool)), pa.array(own[0][who]), pa.array(own[1][who]), pa.array(_pack(tie, start + offset, 1)), pa.array(anchor[head][who]), pa.array(window[mine])], names)
 
 
 def _index_shards(symbols):
@@ -370,36 +370,37 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, contents: int = CONTENTS
     input (4 MB) streams through an index of that portion first, so that a passage of all documents reaches its shard once a portion. An anchor with over
     `contents` contents is indexed in chunks, whose earliest windows meet again by hash. Every step is linear in the words.
 
-    Null and short texts lose nothing. Documents are ordered by doc_id and, where that repeats, by a hash of the
+    Null and short texts lose nothing. Documents are ordered by doc_id and, where that repeats, by 92 bits of hashes of the
     text; equal rows are one document, whose copies lose the same. Rows without an id come last. An empty table gives an
     empty result; extra columns pass through in `row`, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tie = F.xxhash64(text).bitwiseAND(F.lit(_TIE))
-    rows = docs.select(doc_key().alias("id"), tie.alias("tie"), text.alias("text"))
-    runs = rows.mapInArrow(_find, "gone boolean, anchor long, content long, id long, packed long")
+    sub, tie = F.xxhash64(text), F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(_TIE))
+    rows = docs.select(doc_key().alias("id"), sub.alias("sub"), tie.alias("tie"), text.alias("text"))
+    runs = rows.mapInArrow(_find, "gone boolean, anchor long, content long, id long, sub long, packed long")
     # what an index of a portion has found lies anywhere; its rows are spread by their document
-    runs = runs.withColumn("anchor", F.when(F.col("gone"), F.xxhash64("id", "packed")).otherwise(F.col("anchor")))
-    order = Window.partitionBy("gone", "anchor").orderBy("content", "id", "packed")
+    runs = runs.withColumn("anchor", F.when(F.col("gone"), F.xxhash64("id", "sub", "packed")).otherwise(F.col("anchor")))
+    order = Window.partitionBy("gone", "anchor").orderBy("content", "id", "sub", "packed")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     decided = runs.withColumns({"of": F.count("*").over(every), "above": F.lag("content").over(order)}).filter("gone OR of > 1")
     chunks = F.ceil(F.col("of") / contents)  # contents are hashes
-    decided = decided.select("gone", "anchor", F.pmod("content", chunks).alias("chunk"), (chunks > 1).alias("hot"), "content", (~F.col("above").eqNullSafe(F.col("content"))).alias("head"), "id", "packed")
+    decided = decided.select("gone", "anchor", F.pmod("content", chunks).alias("chunk"), (chunks > 1).alias("hot"), "content", (~F.col("above").eqNullSafe(F.col("content"))).alias("head"), "id", "sub", "packed")
     decided = scratch.write(decided, "decided")
     own_tie = F.shiftright("packed", _N_BITS + _S_BITS).alias("tie")
-    by_doc = decided.filter("NOT gone AND head").groupBy("id", own_tie).agg(F.collect_list(F.struct("anchor", "chunk", "hot", "content", "packed")).alias("probes"))
-    cut = rows.join(by_doc, ["id", "tie"]).select("id", "text", "probes").mapInArrow(_cut_out, "anchor long, chunk long, hot boolean, content long, id long, packed long, words binary")
-    staged = cut.unionByName(decided.filter("NOT gone AND NOT head").select("anchor", "chunk", "hot", "content", "id", "packed", F.lit(None).cast("binary").alias("words")))
-    staged = staged.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", "content", "id", "packed")
-    found = scratch.write(staged.mapInArrow(_index_shards(symbols), "open boolean, id long, packed long, anchor long, window long"), "found")
+    by_doc = decided.filter("NOT gone AND head").groupBy("id", "sub", own_tie).agg(F.collect_list(F.struct("anchor", "chunk", "hot", "content", "packed")).alias("probes"))
+    same = ["id", "sub", "tie"]
+    cut = rows.join(by_doc, same).select("id", "sub", "text", "probes").mapInArrow(_cut_out, "anchor long, chunk long, hot boolean, content long, id long, sub long, packed long, words binary")
+    staged = cut.unionByName(decided.filter("NOT gone AND NOT head").select("anchor", "chunk", "hot", "content", "id", "sub", "packed", F.lit(None).cast("binary").alias("words")))
+    staged = staged.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", "content", "id", "sub", "packed")
+    found = scratch.write(staged.mapInArrow(_index_shards(symbols), "open boolean, id long, sub long, packed long, anchor long, window long"), "found")
     firsts = found.filter("open")
-    place = F.struct("id", F.shiftright("packed", _N_BITS).alias("at"))
+    place = F.struct("id", "sub", F.shiftright("packed", _N_BITS).alias("at"))
     least = firsts.groupBy("anchor", "window").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").select("anchor", "window", "least")
     late = firsts.join(least, ["anchor", "window"]).filter(place > F.col("least"))
-    gone = decided.filter("gone").select("id", "packed").unionByName(found.filter("NOT open").select("id", "packed")).unionByName(late.select("id", "packed"))
-    gone = gone.groupBy("id", own_tie).agg(F.collect_list(F.col("packed").bitwiseAND(F.lit((1 << (_N_BITS + _S_BITS)) - 1))).alias("gone"))
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_key().alias("id"), tie.alias("tie"), text.alias("text"))
-    held = held.join(gone, ["id", "tie"], "left").select("row", "text", "gone")
+    gone = decided.filter("gone").select("id", "sub", "packed").unionByName(found.filter("NOT open").select("id", "sub", "packed")).unionByName(late.select("id", "sub", "packed"))
+    gone = gone.groupBy("id", "sub", own_tie).agg(F.collect_list(F.col("packed").bitwiseAND(F.lit((1 << (_N_BITS + _S_BITS)) - 1))).alias("gone"))
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_key().alias("id"), sub.alias("sub"), tie.alias("tie"), text.alias("text"))
+    held = held.join(gone, same, "left").select("row", "text", "gone")
     schema = held.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
     return held.mapInArrow(_remove, schema)
 
