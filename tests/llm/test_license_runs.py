@@ -5,6 +5,8 @@ import textwrap
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import license_scan
 
 LEAST = license_scan.LEAST
@@ -64,7 +66,7 @@ def test_wrapped_licences(spark):
     got = {(r.doc_id, r.license): (r.n_matches, r.dice) for r in license_scan.scan(df).collect()}
     want = {(i, name): x for i, text in enumerate(texts) for name in names if (x := brute(text or "", t[name]))}
     assert {k: v for k, v in got.items() if k[1] in names} == want
-    assert {(0, "MIT-text"), (1, "ISC-text"), (2, "GPL-3.0-or-later-header"), (3, "Apache-2.0-header"), (4, "BSD-3-Clause-text"), (5, "MIT"), (6, "LGPL-2.1-or-later-tag")} <= set(want)
+    assert {(0, "MIT-text"), (1, "ISC-text"), (2, "GPL-3.0-or-later-header"), (3, "Apache-2.0-header"), (4, "BSD-3-Clause-text"), (5, "MIT")} <= set(want) and got[6, "LGPL-2.1-or-later-tag"] == (1, 1.0)
     assert got[5, "MIT"][0] == 3 and got[0, "MIT-text"][0] == 1
 
 
@@ -74,3 +76,19 @@ def test_whole_texts(spark):
     df = spark.createDataFrame([(k, "some words\n" + v + "\nand others") for k, v in t.items()], "doc_id string, text string")
     got = {(r.doc_id, r.license): r.dice for r in license_scan.scan(df, t).collect()}
     assert all(got[k, k] > 0.95 for k in t)
+
+
+def test_tags(spark):
+    """Expressions of SPDX tags, read as wholes: no identifier is taken for one that is like it."""
+    say = "SPDX-License-Identifier:"
+    cases = {
+        f"// {say} MIT-0": ["MIT-0"], f"{say} GPL-2.0+": ["GPL-2.0-or-later"], f"{say} GPL-2.0": ["GPL-2.0-only"], f"{say}\tgpl-2.0-OR-later\n": ["GPL-2.0-or-later"],
+        f"{say} BSD-2-Clause-Patent": ["BSD-2-Clause-Patent"], f"{say} MIT OR Apache-2.0": ["MIT", "Apache-2.0"], f"/* {say} (MIT AND (apache-2.0 OR LGPL-2.1)) */": ["MIT", "Apache-2.0", "LGPL-2.1-only"],
+        f"x = 1  # {say} GPL-2.0-only WITH Classpath-exception-2.0 OR ISC, see COPYING": ["GPL-2.0-only", "ISC"], f"a {say} MIT. More.\nb {say} MIT -->": ["MIT", "MIT"], f"{say}\nMIT": [], f"{say} OR": ["OR"],
+        "SPDX License Identifier MIT": [], f"{say} Apache-2.0+ and more": ["Apache-2.0+"], f"{say} LicenseRef-Own.1 ORANGE": ["LicenseRef-Own.1"],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)) + [(99, None)], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", license_scan.tags(F.col("text")).alias("t")).collect()}
+    assert {k: got[i] for i, k in enumerate(cases)} == cases and got[99] is None
+    named = {(r.doc_id, r.license): r.n_matches for r in license_scan.scan(df).collect() if r.license.endswith("-tag")}
+    assert named == {(i, f"{x}-tag"): cases[k].count(x) for i, k in enumerate(cases) for x in cases[k]}

@@ -27,19 +27,22 @@ NOTICES = {
     "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
 }
 _TEXTS = Path(__file__).with_name("licenses")
-#: SPDX tags of source files.
+#: SPDX identifiers whose letters' case is known; families whose plain form means "only" and whose + means "or later".
 TAGS = ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "MPL-2.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0") + tuple(
     f"{x}-{y}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for y in ("only", "or-later")
 )
 
 
+FAMILIES = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-1.0", "AGPL-3.0")
+
+
 def _texts() -> dict[str, str]:
-    """Whole licence texts (`-text`), the standard headers of source files (`-header`) and SPDX tags (`-tag`)."""
+    """Whole licence texts (`-text`) and the standard headers of source files (`-header`)."""
     found = {f"{p.stem}-text": p.read_text() for p in sorted(_TEXTS.glob("*.txt")) if p.stem != "headers"}
     for part in (_TEXTS / "headers.txt").read_text().split("== ")[1:]:
         name, text = part.split("\n", 1)
         found[f"{name}-header"] = text
-    return found | {f"{x}-tag": f"SPDX-License-Identifier: {x}" for x in TAGS}
+    return found
 
 
 TEMPLATES = NOTICES | _texts()
@@ -185,12 +188,37 @@ def scan_runs(docs: DataFrame, templates: dict[str, str], least: float) -> DataF
     return found.select("doc_id", "license", "r.n", "r.dice").filter(F.col("dice") >= least)
 
 
+_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\+?"
+_TERM = rf"[( \t]*{_ID}(?:[ \t]+WITH[ \t]+{_ID})?(?:[ \t]*\))*"
+
+
+def tags(text: Column) -> Column:
+    """Identifiers in the SPDX licence expressions of a text, in order, repeats and all.
+
+    An expression is what follows `SPDX-License-Identifier:` on the same line: identifiers with AND, OR, WITH and parentheses; what comes
+    after it on the line does not matter. Exceptions after WITH are none. Identifiers are compared as wholes, whatever their case: a plain GPL-2.0 is
+    GPL-2.0-only, GPL-2.0+ is GPL-2.0-or-later; a + elsewhere stays, and so do identifiers that no list has.
+    """
+    found = F.regexp_extract_all(text, F.lit(rf"SPDX-License-Identifier:({_TERM}(?:[ \t]+(?:AND|OR)[ \t]+{_TERM})*)"), F.lit(1))
+    bare = F.transform(found, lambda e: F.regexp_replace(F.regexp_replace(e, rf"[ \t]WITH[ \t]+{_ID}", " "), r"[()]|[ \t](?:AND|OR)(?=[ \t])", " "))
+    ids = F.filter(F.flatten(F.transform(bare, lambda e: F.split(e, r"[ \t]+"))), lambda x: x != "")
+    named = {x.lower(): x for x in TAGS} | {x.lower(): f"{x}-only" for x in FAMILIES} | {f"{x.lower()}+": f"{x}-or-later" for x in FAMILIES}
+    known = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    return F.transform(ids, lambda x: F.coalesce(F.try_element_at(known, F.lower(x)), x))
+
+
+def scan_tags(docs: DataFrame) -> DataFrame:
+    """(doc_id, license, n, dice) of SPDX identifiers, `-tag` after each: they stand there or not, so the coefficient is 1."""
+    tagged = docs.filter(F.contains("text", F.lit("SPDX-License-Identifier:"))).select("doc_id", F.explode(tags(F.col("text"))).alias("id"))
+    return tagged.select("doc_id", F.concat("id", F.lit("-tag")).alias("license"), F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("dice"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, license, n_matches, dice): for each document and licence that it holds, the passages that match and the best coefficient.
 
     Passages are the distinct sentences and lines, the text as a whole, and runs of consecutive sentences over any lines
     with two thirds to one and a half of the template's words, so wrapped notices, paragraphs and whole licence texts. A run counts
-    distinct bigrams on both sides (a whole text repeats many). Overlapping runs count once, and not beside a line or sentence in them that matches by itself.
+    distinct bigrams on both sides (a whole text repeats many). SPDX tags are read exactly (`tags`), unless templates are given. Overlapping runs count once, and not beside a line or sentence in them that matches by itself.
 
     A passage is lower-cased and cut into words of letters and digits; the coefficient is 2 |A and B| / (|A| + |B|) over
     word bigrams: distinct ones in common, sizes counted with repeats. A coefficient of `least` needs sizes within
@@ -206,8 +234,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     doc, text = F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     if not sized:
         return docs.select(doc, F.lit("").alias("license"), F.lit(0).cast("long").alias("n_matches"), F.lit(0.0).alias("dice")).filter("false")
+    every = docs.select(doc, text.alias("text"))
     # written, as both ways of cutting it up read it
-    docs = (scratch or Scratch(docs.sparkSession, "licenses")).write(_possible(docs.select(doc, text.alias("text")), [b for _, b in sized], least), "possible")
+    docs = (scratch or Scratch(docs.sparkSession, "licenses")).write(_possible(every, [b for _, b in sized], least), "possible")
     text = F.col("text")
     units = docs.select(doc, F.explode(passages(text)).alias("unit"))
     units = units.select("doc_id", _words(F.col("unit")).alias("words")).withColumn("n", F.size("words") - 1)
@@ -223,6 +252,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     found = units.select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
     found = found.select("doc_id", "hit.license", F.lit(1).cast("long").alias("n"), "hit.dice")
     found = found.unionByName(scan_runs(docs, TEMPLATES if templates is None else templates, least))
+    if templates is None:
+        found = found.unionByName(scan_tags(every))
     return found.groupBy("doc_id", "license").agg(F.sum("n").alias("n_matches"), F.max("dice").alias("dice"))
 
 
