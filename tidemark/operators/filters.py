@@ -2,7 +2,7 @@
 
 A story has id, source, title, title_en, url, at (event time), lang, event_kind, is_tech, superseded_by, dismissed_at, prerelease,
 importance, coverage, country and the arrays tags, companies and platforms. `Reader` holds the tables beside the stories: the taxonomy
-(slug, parent, category, kind), its closure (root, member), first months and story counts of tags, categories of companies and channels of platforms.
+(slug, parent, category, kind), its closure (root, member) or labels, first months and story counts of tags, categories of companies and channels of platforms.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import search
 from tidemark.functions.gates import MONEY
-from tidemark.operators.hierarchy import expand
+from tidemark.operators.hierarchy import expand, inside
 
 # Event classes, those shown where none is asked for, what a story may be about, and money lenses.
 EVENT_KINDS = ("launch", "release", "change", "market", "article")
@@ -122,6 +122,7 @@ class Reader:
     as_of: str
     taxonomy: DataFrame | None = None
     closure: DataFrame | None = None
+    labels: DataFrame | None = None
     first_month: DataFrame | None = None
     frequency: DataFrame | None = None
     companies: DataFrame | None = None
@@ -141,7 +142,12 @@ def overlapping(stories: DataFrame, array: str, values: tuple) -> DataFrame:
 
 
 def under(stories: DataFrame, roots: tuple, reader: Reader) -> DataFrame:
-    """Stories with a tag among the roots or below them; several roots widen, an unknown root is its own only member."""
+    """Stories with a tag among the roots or below them; several roots widen, an unknown root is its own only member.
+
+    Where the taxonomy is labelled and the stories hold their tags' `places`, that is a range test on each story; else its closure is joined.
+    """
+    if reader.labels is not None and "places" in stories.columns:
+        return stories.filter(inside(F.col("places"), F.col("tags"), reader.labels, roots))
     spark = stories.sparkSession
     return holding(stories, "tags", expand(spark.createDataFrame([(r,) for r in roots], "slug string"), reader.closure))
 
