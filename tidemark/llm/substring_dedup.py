@@ -375,8 +375,14 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, contents: int = CONTENTS
     empty result; extra columns pass through in `row`, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sub, tie = F.xxhash64(text), F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(_TIE))
-    rows = docs.select(doc_key().alias("id"), sub.alias("sub"), tie.alias("tie"), text.alias("text"))
+    # ids that repeat, if any: only their rows need telling apart; a file's size lets Spark broadcast them where they are few
+    repeated = scratch.write(docs.select(doc_key().alias("id")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated")
+    again = repeated.select("id", F.lit(True).alias("again"))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    told = docs.select(row.alias("row"), doc_key().alias("id"), text.alias("text")).join(again, "id", "left")
+    text = F.col("text")
+    told = told.select("row", "id", F.when(F.col("again"), F.xxhash64(text)).otherwise(0).cast("long").alias("sub"), F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(_TIE)).alias("tie"), "text")
+    rows = told.drop("row")
     runs = rows.mapInArrow(_find, "gone boolean, anchor long, content long, id long, sub long, packed long")
     # what an index of a portion has found lies anywhere; its rows are spread by their document
     runs = runs.withColumn("anchor", F.when(F.col("gone"), F.xxhash64("id", "sub", "packed")).otherwise(F.col("anchor")))
@@ -399,8 +405,7 @@ def dedup_substrings(docs: DataFrame, scratch: Scratch, contents: int = CONTENTS
     late = firsts.join(least, ["anchor", "window"]).filter(place > F.col("least"))
     gone = decided.filter("gone").select("id", "sub", "packed").unionByName(found.filter("NOT open").select("id", "sub", "packed")).unionByName(late.select("id", "sub", "packed"))
     gone = gone.groupBy("id", "sub", own_tie).agg(F.collect_list(F.col("packed").bitwiseAND(F.lit((1 << (_N_BITS + _S_BITS)) - 1))).alias("gone"))
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_key().alias("id"), sub.alias("sub"), tie.alias("tie"), text.alias("text"))
-    held = held.join(gone, same, "left").select("row", "text", "gone")
+    held = told.join(gone, same, "left").select("row", "text", "gone")
     schema = held.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
     return held.mapInArrow(_remove, schema)
 
