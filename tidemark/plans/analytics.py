@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores, search, text
 from tidemark.operators import keyed, tagging
+from tidemark.operators.gram_index import GramIndex
 from tidemark.plans.catalogue import _TAGGED, QUERIES, SQL, _t, _tagged, query
 from tidemark.streaming import ledger
 
@@ -150,8 +151,9 @@ _GRAMS = "list_distinct(flatten(list_transform(string_split({0}, ' '), lambda w:
 
 @query(f"WITH n AS (SELECT DISTINCT p_name AS name, {_GRAMS.format('p_name')} AS a, {_GRAMS.format(chr(39) + 'smal ringe' + chr(39))} AS b FROM part), s AS (SELECT name, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) AS likeness FROM n) SELECT * FROM s WHERE likeness >= 0.34")
 def x4_similar_names(spark, d):
-    likeness = F.round(text.similarity(F.col("name"), F.lit("smal ringe")), 9)
-    return _t(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("likeness", likeness).filter("likeness >= 0.34")
+    """Only names that share one of the rarest trigrams are compared."""
+    names = _t(spark, d, "part").select("p_partkey", F.col("p_name").alias("form"), F.lit(False).alias("alias")).withColumnRenamed("p_partkey", "slug")
+    return GramIndex.build(names).similar("smal ringe").select("name", F.round("likeness", 9).alias("likeness"))
 
 
 @query("SELECT name, distance FROM (SELECT DISTINCT p_name AS name, levenshtein(lower(p_name), 'smal ringe') AS distance FROM part) WHERE distance <= 3")
@@ -219,10 +221,13 @@ def a7_coverage_curve(spark, d):
     return _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("story")).agg(F.array_join(F.transform(steps, lambda x: x["l_suppkey"].cast("string")), ",").alias("curve"))
 
 
-@query("SELECT name, grade FROM (SELECT DISTINCT p_name AS name, CASE WHEN p_name = 'red ring' THEN 0 WHEN starts_with(p_name, 'red') THEN 1 WHEN contains(p_name, 'ring') THEN 3 END AS grade FROM part) WHERE grade IS NOT NULL")
+@query("WITH f AS (SELECT p_partkey AS slug, p_name AS form, FALSE AS alias FROM part UNION ALL SELECT p_partkey, lower(p_type || ' of ' || p_brand), TRUE FROM part), g AS (SELECT slug, CASE WHEN NOT alias AND form = 'red ring' THEN 0 WHEN NOT alias AND starts_with(form, 'red ring') THEN 1 WHEN alias AND starts_with(form, 'red ring') THEN 2 WHEN contains(form, 'red ring') THEN 3 END AS grade, 'red ring' AS typed FROM f UNION ALL SELECT slug, CASE WHEN NOT alias AND form = 'small' THEN 0 WHEN NOT alias AND starts_with(form, 'small') THEN 1 WHEN alias AND starts_with(form, 'small') THEN 2 WHEN contains(form, 'small') THEN 3 END, 'small' FROM f) SELECT typed, slug, min(grade) AS grade FROM g WHERE grade IS NOT NULL GROUP BY 1, 2")
 def q19_suggest(spark, d):
-    grade = F.when(F.col("name") == "red ring", 0).when(F.col("name").startswith("red"), 1).when(F.col("name").contains("ring"), 3)
-    return _t(spark, d, "part").select(F.col("p_name").alias("name")).distinct().withColumn("grade", grade).filter("grade IS NOT NULL")
+    """Parts by name or by what they are, for two texts typed."""
+    part = _t(spark, d, "part")
+    forms = part.select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("form"), F.lit(False).alias("alias"))
+    index = GramIndex.build(forms.unionByName(part.select(F.col("p_partkey").alias("slug"), F.concat_ws(" of ", "p_type", "p_brand").alias("form"), F.lit(True).alias("alias"))))
+    return index.suggest("red ring").withColumn("typed", F.lit("red ring")).unionByName(index.suggest("small").withColumn("typed", F.lit("small")))
 
 
 @query(f"WITH p AS ({SQL['q3_tag_pairs'].replace('SELECT * REPLACE (month::VARCHAR AS month) FROM', 'SELECT * FROM')}), e AS (SELECT a, b, together FROM p UNION ALL SELECT b, a, together FROM p) SELECT a AS tag, b AS other, sum(together)::BIGINT AS together FROM e GROUP BY 1, 2")

@@ -53,10 +53,10 @@ def z9_next_jobs(spark, d):
     return models.next_jobs(o, "2000-01-01", 40).select("id", "key")
 
 
-@query("WITH m AS (SELECT DISTINCT l_suppkey AS seed, l_partkey % 97 AS domain FROM lineitem WHERE l_tax < 0.02) SELECT domain, count(*) AS seeds FROM m WHERE domain % 5 > 0 GROUP BY 1 HAVING count(*) >= 2")
+@query("WITH m AS (SELECT DISTINCT l_suppkey AS seed, l_partkey % 97 AS domain FROM lineitem) SELECT domain, count(*) AS seeds FROM m WHERE domain % 5 > 0 GROUP BY 1 HAVING count(*) >= 2")
 def v19_similar_domains(spark, d):
     """Domains by how many seeds name them; known ones and those with one seed are left out."""
-    m = _t(spark, d, "lineitem").filter("l_tax < 0.02").select(F.col("l_suppkey").alias("seed"), (F.col("l_partkey") % 97).alias("domain"))
+    m = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("seed"), (F.col("l_partkey") % 97).alias("domain"))
     return m.filter("domain % 5 > 0").groupBy("domain").agg(F.countDistinct("seed").alias("seeds")).filter("seeds >= 2")
 
 
@@ -79,10 +79,10 @@ def t9_long_enough(spark, d):
     return _t(spark, d, "documents").select("doc_id", language.long_enough(F.col("text")).alias("long_enough"))
 
 
-@query("WITH a AS (SELECT l_suppkey AS source, count(*) AS items, count(DISTINCT l_partkey % 30) AS domains FROM lineitem WHERE l_tax = 0.01 AND l_discount = 0.03 GROUP BY 1) SELECT source, round(domains::DOUBLE / items, 9) AS scatter, items >= 6 AND domains > 2 AND domains > items / 3.0::DOUBLE AS linkblog FROM a")
+@query("WITH a AS (SELECT l_suppkey AS source, count(*) AS items, count(DISTINCT l_partkey % (20 * (1 + l_suppkey % 40))) AS domains FROM lineitem GROUP BY 1) SELECT source, round(domains::DOUBLE / items, 9) AS scatter, items >= 6 AND domains > 2 AND domains > items / 3.0::DOUBLE AS linkblog FROM a")
 def m10_scatter(spark, d):
     """How scattered a source's links are, and whether that makes it a linkblog."""
-    a = _t(spark, d, "lineitem").filter("l_tax = 0.01 AND l_discount = 0.03").groupBy(F.col("l_suppkey").alias("source")).agg(F.count("*").alias("items"), F.countDistinct(F.col("l_partkey") % 30).alias("domains"))
+    a = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source")).agg(F.count("*").alias("items"), F.countDistinct(F.col("l_partkey") % (20 * (1 + F.col("l_suppkey") % 40))).alias("domains"))
     return a.select("source", F.round(F.col("domains") / F.col("items"), 9).alias("scatter"), gates.linkblog(F.col("items"), F.col("domains")).alias("linkblog"))
 
 

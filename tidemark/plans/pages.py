@@ -247,19 +247,19 @@ def g14_confirmed_references(spark, d):
     return _t(spark, d, "part").select("p_partkey", text.confirmation(F.lit("https://github.com/a/b"), F.lit("https://A.example"), repos, sites, F.lit(True), n, title).alias("confirmed"))
 
 
-@query("SELECT doc_id, CASE WHEN 3 * (doc_id % 9) > 0.15::DOUBLE * (length(f) + 3 * (doc_id % 9)) THEN length(replace(f, ' ', '')) + 3 * (doc_id % 9) ELSE len(list_filter(string_split(trim(regexp_replace(lower(left(coalesce(text, ''), 40)) || repeat('日本語', (doc_id % 9)::INT), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '')) END AS words FROM (SELECT doc_id, text, trim(regexp_replace(lower(left(coalesce(text, ''), 40)), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS f FROM documents)")
+@query("SELECT doc_id, CASE WHEN 3 * (doc_id % 9) > 0.15::DOUBLE * (length(f) + 3 * (doc_id % 9)) THEN length(replace(f, ' ', '')) + 3 * (doc_id % 9) ELSE len(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')) || repeat('日本語', (doc_id % 9)::INT), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '')) END AS words FROM (SELECT doc_id, text, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS f FROM documents)")
 def t7_words_or_characters(spark, d):
     """Words of a text, or its characters where it is CJK."""
-    t = F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(40)), F.repeat(F.lit("日本語"), (F.col("doc_id") % 9).cast("int")))
+    t = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("日本語"), (F.col("doc_id") % 9).cast("int")))
     return _t(spark, d, "documents").select("doc_id", text.word_count(t).cast("long").alias("words"))
 
 
-@query("SELECT 'f' || (doc_id % 4) AS feed, '<p>long <b>' || doc_id || '</b></p>' AS html FROM documents WHERE doc_id < 100")
+@query("SELECT 'f' || (doc_id // 100) AS feed, '<p>long <b>' || doc_id || '</b></p>' AS html FROM documents")
 def s4_raw_entries(spark, d):
     """Atom entries with their content as HTML."""
     i = F.col("doc_id").cast("string")
     entry = F.concat(F.lit("<entry><title>T</title><id>"), i, F.lit("</id><content type='html'>&lt;p&gt;long &lt;b&gt;"), i, F.lit("&lt;/b&gt;&lt;/p&gt;</content></entry>"))
-    bodies = _t(spark, d, "documents").filter("doc_id < 100").groupBy(F.concat(F.lit("f"), (F.col("doc_id") % 4).cast("string")).alias("feed")).agg(F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'>"), F.array_join(F.sort_array(F.collect_list(entry)), ""), F.lit("</feed>")).alias("body"))
+    bodies = _t(spark, d, "documents").groupBy(F.concat(F.lit("f"), F.floor(F.col("doc_id") / 100).cast("string")).alias("feed")).agg(F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'>"), F.array_join(F.sort_array(F.collect_list(entry)), ""), F.lit("</feed>")).alias("body"))
     return feeds.parse_feeds(bodies).select("feed", F.col("summary").alias("html"))
 
 

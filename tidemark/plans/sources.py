@@ -13,8 +13,8 @@ _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1))
 
 
 def _bodies(spark, d, kind):
-    """A feed for each source of documents, written as text, with an item for each of its first hundred ids."""
-    doc = _t(spark, d, "documents").filter("doc_id < 100").select(F.coalesce("source", F.lit("none")).alias("feed"), "doc_id")
+    """Feeds written as text: one for each source and hundred ids of documents, with an item for each id."""
+    doc = _t(spark, d, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string")).alias("feed"), "doc_id")
     i = F.col("doc_id").cast("string")
     part = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
     item = {
@@ -26,20 +26,20 @@ def _bodies(spark, d, kind):
     return doc.groupBy("feed").agg(F.concat(F.lit(ends[0]), F.array_join(F.sort_array(F.collect_list(item)), ends[1]), F.lit(ends[2])).alias("body"))
 
 
-@query("SELECT coalesce(source, 'none') AS feed, 'T' || doc_id AS title, 'g' || doc_id AS guid FROM documents WHERE doc_id < 100")
+@query("SELECT coalesce(source, 'none') || '-' || (doc_id // 100) AS feed, 'T' || doc_id AS title, 'g' || doc_id AS guid FROM documents")
 def s1_json_feeds(spark, d):
     """Items of JSON feeds, beside bodies that are no feed and give nothing."""
     rubbish = spark.createDataFrame([("x", "{"), ("y", "<html/>"), ("z", None)], "feed string, body string")
     return feeds.parse_feeds(_bodies(spark, d, "json").unionByName(rubbish)).select("feed", "title", "guid")
 
 
-@query("SELECT coalesce(source, 'none') AS feed, 'T' || doc_id || ' & more' AS title, CASE WHEN doc_id % 3 > 0 THEN 'https://a.example/' || doc_id ELSE 'g' || doc_id END AS link, '<p>long ' || doc_id || '</p>' AS summary, '2024-01-02' AS published FROM documents WHERE doc_id < 100")
+@query("SELECT coalesce(source, 'none') || '-' || (doc_id // 100) AS feed, 'T' || doc_id || ' & more' AS title, CASE WHEN doc_id % 3 > 0 THEN 'https://a.example/' || doc_id ELSE 'g' || doc_id END AS link, '<p>long ' || doc_id || '</p>' AS summary, '2024-01-02' AS published FROM documents")
 def s2_rss_items(spark, d):
     """Items of RSS: the encoded content before the description, the guid where a link is missing, dc:date where there is no pubDate."""
     return feeds.parse_feeds(_bodies(spark, d, "rss")).select("feed", "title", "link", "summary", "published")
 
 
-@query("SELECT coalesce(source, 'none') AS feed, 'T' || doc_id AS title, 'https://a.example/' || doc_id AS link, '2024-01-0' || (doc_id % 9 + 1) AS published FROM documents WHERE doc_id < 100")
+@query("SELECT coalesce(source, 'none') || '-' || (doc_id // 100) AS feed, 'T' || doc_id AS title, 'https://a.example/' || doc_id AS link, '2024-01-0' || (doc_id % 9 + 1) AS published FROM documents")
 def s3_atom_entries(spark, d):
     """Entries of Atom: the alternate link, publication before the last update."""
     return feeds.parse_feeds(_bodies(spark, d, "atom")).select("feed", "title", "link", "published")
@@ -64,11 +64,11 @@ _ITEMS = [("http://f.example/1", "g1"), ("https://f.example/log#a", "g2"), ("htt
 _RESOLVED = [("https://f.example/1", False), ("https://f.example/log#a", True), ("https://f.example/log#b", True), ("https://f.example/list#x?y", True), ("https://f.example/list#tok%20en", True), ("https://f.example/feed", True), ("https://f.example/own", True), (None, True)]
 
 
-@query("WITH r(k, url, listing) AS (VALUES " + ", ".join(f"({k}, {repr(u) if u else 'NULL'}, {str(b).upper()})" for k, (u, b) in enumerate(_RESOLVED)) + ") SELECT p_partkey AS feed, k, url, listing FROM part, r WHERE p_partkey % 10 = 0")
+@query("WITH r(k, url, listing) AS (VALUES " + ", ".join(f"({k}, {repr(u) if u else 'NULL'}, {str(b).upper()})" for k, (u, b) in enumerate(_RESOLVED)) + ") SELECT p_partkey AS feed, k, url, listing FROM part, r")
 def s7_item_addresses(spark, d):
     """An address for each item of feeds whose links are shared, the feed's own or missing."""
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(link).alias("link"), F.lit(guid).alias("guid")) for k, (link, guid) in enumerate(_ITEMS)]))
-    given = _t(spark, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("feed"), F.lit("http://www.f.example/feed/").alias("feed_url"), rows.alias("i")).select("feed", "feed_url", "i.*")
+    given = _t(spark, d, "part").select(F.col("p_partkey").alias("feed"), F.lit("http://www.f.example/feed/").alias("feed_url"), rows.alias("i")).select("feed", "feed_url", "i.*")
     return items.item_addresses(given).select("feed", "k", "url", "listing")
 
 

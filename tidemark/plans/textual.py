@@ -25,7 +25,7 @@ def t2_compare_form(spark, d):
     return _t(spark, d, "pages").select("page_id", text.compare_form(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("form"))
 
 
-_CJK_TEXT = "left(coalesce(text, ''), 40) || repeat('日本語', (doc_id % 9)::INT)"
+_CJK_TEXT = "coalesce(text, '') || repeat('日本語', (doc_id % 9)::INT)"
 
 
 @query(f"WITH t AS (SELECT doc_id, {_CJK_TEXT} AS t FROM documents), c AS (SELECT doc_id, t, len(regexp_extract_all(t, '[぀-ゟ゠-ヿ㐀-䶿一-鿿豈-﫿가-힯]')) AS n FROM t) SELECT doc_id, n > 0 AS has_cjk, CASE WHEN length(t) > 0 THEN round(n::DOUBLE / length(t), 9) ELSE 0 END AS ratio, coalesce(n > 0.15::DOUBLE * length(t), FALSE) AS is_cjk FROM c")
@@ -33,7 +33,7 @@ def t4_cjk(spark, d):
     """Whether a text has CJK characters, their share, and whether it counts as a CJK text."""
     from tidemark.functions.language import cjk_ratio
 
-    t = F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(40)), F.repeat(F.lit("日本語"), (F.col("doc_id") % 9).cast("int")))
+    t = F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("日本語"), (F.col("doc_id") % 9).cast("int")))
     return _t(spark, d, "documents").select("doc_id", t.rlike(text.CJK).alias("has_cjk"), F.round(cjk_ratio(t), 9).alias("ratio"), text.is_cjk(t).alias("is_cjk"))
 
 

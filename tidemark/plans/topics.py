@@ -115,10 +115,10 @@ def c11_vocabulary_prefilter(spark, d):
     return discovery.prefilter(docs, slugs, ["all"])
 
 
-@query("WITH s AS (SELECT l_orderkey AS story, 'e' || (l_partkey % 40) AS slug, l_suppkey AS source, CASE WHEN l_linenumber > 1 THEN 'what ' || l_suppkey END AS what, l_returnflag = 'R' AS independent, l_shipdate AS seen FROM lineitem WHERE l_partkey % 40 >= 3 AND l_tax < 0.02), o AS (SELECT slug, story, source, min(seen) AS seen, bool_or(independent) AS independent, min_by(what, (seen, what)) FILTER (what IS NOT NULL) AS what FROM s GROUP BY ALL) SELECT slug, min_by(what, (seen, what)) FILTER (what IS NOT NULL) AS what, min(seen)::DATE::VARCHAR AS first_seen, max(seen)::DATE::VARCHAR AS last_seen, count(*) AS sightings, count(DISTINCT source) AS sources, count(DISTINCT source) FILTER (independent) AS independent, CASE WHEN count(DISTINCT source) >= 2 OR count(*) FILTER (independent) > 0 THEN 'tracked' ELSE 'candidate' END AS status FROM o GROUP BY 1")
+@query("WITH s AS (SELECT l_orderkey AS story, 'e' || (l_partkey % 40) AS slug, l_suppkey AS source, CASE WHEN l_linenumber > 1 THEN 'what ' || l_suppkey END AS what, l_returnflag = 'R' AS independent, l_shipdate AS seen FROM lineitem WHERE l_partkey % 40 >= 3), o AS (SELECT slug, story, source, min(seen) AS seen, bool_or(independent) AS independent, min_by(what, (seen, what)) FILTER (what IS NOT NULL) AS what FROM s GROUP BY ALL) SELECT slug, min_by(what, (seen, what)) FILTER (what IS NOT NULL) AS what, min(seen)::DATE::VARCHAR AS first_seen, max(seen)::DATE::VARCHAR AS last_seen, count(*) AS sightings, count(DISTINCT source) AS sources, count(DISTINCT source) FILTER (independent) AS independent, CASE WHEN count(DISTINCT source) >= 2 OR count(*) FILTER (independent) > 0 THEN 'tracked' ELSE 'candidate' END AS status FROM o GROUP BY 1")
 def c15_emerging_ledger(spark, d):
     """The ledger after a second batch of sightings; three names are in the taxonomy."""
-    s = _t(spark, d, "lineitem").filter("l_tax < 0.02").select(F.concat(F.lit("e"), (F.col("l_partkey") % 40).cast("string")).alias("slug"), F.col("l_orderkey").alias("story"), F.col("l_suppkey").alias("source"), F.when(F.col("l_linenumber") > 1, F.concat(F.lit("what "), F.col("l_suppkey").cast("string"))).alias("what"), (F.col("l_returnflag") == "R").alias("independent"), F.col("l_shipdate").alias("at"))
+    s = _t(spark, d, "lineitem").select(F.concat(F.lit("e"), (F.col("l_partkey") % 40).cast("string")).alias("slug"), F.col("l_orderkey").alias("story"), F.col("l_suppkey").alias("source"), F.when(F.col("l_linenumber") > 1, F.concat(F.lit("what "), F.col("l_suppkey").cast("string"))).alias("what"), (F.col("l_returnflag") == "R").alias("independent"), F.col("l_shipdate").alias("at"))
     known = spark.createDataFrame([("e0",), ("e1",), ("e2",)], "slug string")
     out = discovery.ledger(s.filter("story % 2 = 0"), s.filter("story % 2 = 1 OR story % 10 = 0"), known)
     return out.withColumn("first_seen", F.col("first_seen").cast("date").cast("string")).withColumn("last_seen", F.col("last_seen").cast("date").cast("string"))
@@ -155,9 +155,9 @@ def v10_candidate_status(spark, d):
     return discovery.promoted(a, F.col("mentions"), F.col("sources"), F.col("id") % 4 == 0, 20).select("id", "status")
 
 
-@query("WITH e AS (SELECT l_partkey % 40 AS slug, min(l_shipdate) AS first_seen, count(DISTINCT l_suppkey) AS sources FROM lineitem WHERE l_tax < 0.01 GROUP BY 1) SELECT count(*) FILTER (sources >= 2) AS tracked, count(*) FILTER (sources < 2) AS candidates, count(*) FILTER (sources >= 2 AND first_seen > TIMESTAMP '1995-02-01') AS fresh FROM e")
+@query("WITH e AS (SELECT l_partkey % 40 AS slug, min(l_shipdate) AS first_seen, count(DISTINCT l_suppkey) AS sources FROM lineitem GROUP BY 1) SELECT count(*) FILTER (sources >= 2) AS tracked, count(*) FILTER (sources < 2) AS candidates, count(*) FILTER (sources >= 2 AND first_seen > TIMESTAMP '1995-02-01') AS fresh FROM e")
 def q36_emerging_summary(spark, d):
     """How many names are tracked, wait for a second source, and are new."""
-    e = _t(spark, d, "lineitem").filter("l_tax < 0.01").groupBy((F.col("l_partkey") % 40).alias("slug")).agg(F.min("l_shipdate").alias("first_seen"), F.countDistinct("l_suppkey").alias("sources"))
+    e = _t(spark, d, "lineitem").groupBy((F.col("l_partkey") % 40).alias("slug")).agg(F.min("l_shipdate").alias("first_seen"), F.countDistinct("l_suppkey").alias("sources"))
     t = F.col("sources") >= 2
     return e.agg(F.count_if(t).alias("tracked"), F.count_if(~t).alias("candidates"), F.count_if(t & (F.col("first_seen") > F.lit("1995-02-01").cast("timestamp_ntz"))).alias("fresh"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import keyed
-from tidemark.operators.tables import Table, merge_stories, roll_up, shared_folder
+from tidemark.operators import merging
+from tidemark.operators.tables import Table, roll_up, shared_folder
 from tidemark.plans.catalogue import _t, query
 
 
@@ -53,20 +53,34 @@ def k10_counted_changes(spark, d):
     return t.read().filter("state <> 'warm'").groupBy("c_mktsegment", F.col("state").alias("now")).agg(F.count("*").alias("changed"))
 
 
-_MERGE = """s AS (SELECT o_orderkey AS id, o_custkey AS source, round(o_totalprice, -5) AS weight, o_orderstatus = 'P' AS never, o_orderdate AS seen FROM orders),
-p AS (SELECT id AS a, id + 1 AS b FROM s WHERE id % 4 = 0 UNION SELECT id, id + 2 FROM s WHERE id % 8 = 0),
-x AS (SELECT l.*, r.id AS rid, r.source AS rsource, (l.never, -l.weight, l.seen, l.id) < (r.never, -r.weight, r.seen, r.id) AS first, r.never AS rnever, r.weight AS rweight, r.seen AS rseen FROM p JOIN s l ON l.id = a JOIN s r ON r.id = b),
-q AS (SELECT CASE WHEN first THEN id ELSE rid END AS winner, CASE WHEN first THEN rid ELSE id END AS loser, CASE WHEN first THEN rsource ELSE source END AS lsource, CASE WHEN first THEN (never, -weight, seen, id) ELSE (rnever, -rweight, rseen, rid) END AS rank FROM x),
-lost AS (SELECT loser, arg_min(winner, rank) AS winner, min(lsource) AS lsource FROM q GROUP BY 1)"""
+_STEP = """d{n} AS (SELECT CASE WHEN (l.never, -l.weight, l.seen, l.id) < (r.never, -r.weight, r.seen, r.id) THEN r.id ELSE l.id END AS loser, CASE WHEN (l.never, -l.weight, l.seen, l.id) < (r.never, -r.weight, r.seen, r.id) THEN l.id ELSE r.id END AS winner
+  FROM p JOIN s l ON l.id = a JOIN s r ON r.id = b WHERE layer = {n} {gone})"""
+_GONE = " ".join("AND a NOT IN (SELECT loser FROM d{0}) AND b NOT IN (SELECT loser FROM d{0})".format(k) for k in (1, 2))
+_MERGE = f"""s AS (SELECT o_orderkey AS id, o_custkey AS source, round(o_totalprice, -5) AS weight, o_orderstatus = 'P' AS never, o_orderdate AS seen FROM orders),
+p AS (SELECT id AS a, id + 1 AS b, 1 AS layer FROM s WHERE id % 4 = 0 UNION ALL SELECT id, id + 2, 2 FROM s WHERE id % 4 = 0 UNION ALL SELECT id + 1, id + 2, 3 FROM s WHERE id % 4 = 0),
+{_STEP.format(n=1, gone="")}, {_STEP.format(n=2, gone=_GONE[: len(_GONE) // 2])}, {_STEP.format(n=3, gone=_GONE)},
+lost AS (SELECT *, 1 AS layer FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3)"""
 
 
-@query(f"WITH {_MERGE} SELECT s.id, winner AS superseded_by, 1 + count(DISTINCT m.lsource) FILTER (m.lsource <> s.source) AS coverage FROM s LEFT JOIN lost ON loser = s.id LEFT JOIN (SELECT winner AS story, lsource FROM lost) m ON m.story = s.id GROUP BY ALL")
+def _merged(spark, d):
+    """Stories after merges of neighbours in three layers, so that a story may win first and lose then, or lose and be asked for again."""
+    s = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source"), F.concat(F.lit("https://s.example/"), F.col("o_orderkey").cast("string")).alias("url"), F.col("o_orderpriority").alias("title"),
+                                      F.round("o_totalprice", -5).alias("weight"), (F.col("o_orderstatus") == "P").alias("never_canonical"), F.col("o_orderdate").alias("collected"), F.lit(None).cast("long").alias("superseded_by"), F.lit(1).cast("long").alias("coverage"))
+    pair = lambda x, y, layer: s.filter("id % 4 = 0").select((F.col("id") + x).alias("a"), (F.col("id") + y).alias("b"), F.lit(layer).alias("layer"))
+    none = spark.createDataFrame([], "story long, member long, source long, url string, title string, layer int")
+    return merging.merge_in_order(s, none, pair(0, 1, 1).unionByName(pair(0, 2, 2)).unionByName(pair(1, 2, 3)))
+
+
+@query(f"WITH {_MERGE} SELECT s.id, winner AS superseded_by, 1 + (SELECT count(DISTINCT o.source) FROM lost m JOIN s o ON o.id = m.loser WHERE m.winner = s.id AND o.source <> s.source) AS coverage FROM s LEFT JOIN lost ON loser = s.id")
 def c6_merged_stories(spark, d):
-    """Stories after merges of pairs and triples: losers superseded, sources kept as members, coverage counted again."""
-    s = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source"), F.round("o_totalprice", -5).alias("weight"), (F.col("o_orderstatus") == "P").alias("never_canonical"), F.col("o_orderdate").alias("collected"), F.lit(None).cast("long").alias("superseded_by"), F.lit(1).cast("long").alias("coverage"))
-    near = lambda by, step: s.filter(F.col("id") % by == 0).select(F.col("id").alias("a"), (F.col("id") + step).alias("b"))
-    merged, _ = merge_stories(s, spark.createDataFrame([], "story long, source long"), near(4, 1).unionByName(near(8, 2)))
-    return merged.select("id", "superseded_by", "coverage")
+    """Losers superseded, coverage counted again."""
+    return _merged(spark, d)[0].select("id", "superseded_by", "coverage")
+
+
+@query(f"WITH {_MERGE} SELECT winner AS story, loser AS member, o_custkey AS source, 'https://s.example/' || loser AS url, o_orderpriority AS title, layer FROM lost JOIN orders ON o_orderkey = loser")
+def c6_members(spark, d):
+    """What each merge made a member: the story that it was, where it came from and the layer that found it."""
+    return _merged(spark, d)[1]
 
 
 @query("WITH o AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, o_orderkey FROM orders), late AS (SELECT DISTINCT month FROM o WHERE o_orderkey % 50 = 0 AND month >= DATE '1996-01-01') SELECT month, CASE WHEN month IN (SELECT month FROM late) THEN count(*) ELSE count(*) FILTER (o_orderkey % 50 <> 0) END AS stories FROM o GROUP BY 1", date="month")
