@@ -90,3 +90,42 @@ def test_registry(spark):
     assert sorted(map(tuple, registry.named_in(titles, names).collect())) == [("cpp", 1), ("dot", 2)]
     assert spark.range(1).select(reports.frontmatter(F.lit(None).cast("string"), "a"), reports.letter_share(F.lit("")), registry.evidence(F.lit(None).cast("string"))["independent"]).first()[:] == (None, 0.0, False)
     assert joins.records(spark.createDataFrame([(1, "[]"), (2, "{")], "k int, b string"), "b", "x string").count() == 0
+
+
+def test_a_change_that_stops_half_way(spark, tmp_path, monkeypatch):
+    """Emptied partitions go with the next read, and what was not written to its end does nothing."""
+    from pyspark.sql import functions as F
+
+    t = Table(spark, f"file://{tmp_path}/t", "p")
+    rows = spark.createDataFrame([(k, k % 3) for k in range(30)], "k int, p int")
+    t.replace(rows)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(Table, "_drop", stop)
+        with pytest.raises(RuntimeError):
+            t.change(rows.select("p"), lambda old: old.filter("p <> 1").withColumn("k", F.col("k") + 100))
+    again = Table(spark, f"file://{tmp_path}/t", "p")
+    again.schema = rows.schema
+    want = sorted((k + 100, k % 3) for k in range(30) if k % 3 != 1)
+    assert sorted(map(tuple, again.read().collect())) == want and sorted(map(tuple, again.read().collect())) == want
+    with pytest.raises(Exception, match="(?i)zero"):
+        again.change(rows.select("p"), lambda old: old.withColumn("k", F.raise_error(F.lit("zero")).cast("int")))
+    assert sorted(map(tuple, again.read().collect())) == want
+    (tmp_path / "t-change").mkdir()
+    assert again.sweep(spark.createDataFrame([(want[0][0],)], "k int"), ["k"]) == len(want) - 1
+    assert again.read().count() == 1
+
+
+def test_a_large_partition_has_several_writers(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        t = Table(spark, f"file://{tmp_path}/t", "p")
+        t.replace(spark.range(0, 200_000, 1, 8).selectExpr("id", "CAST(id % 1000 = 0 AS INT) AS p"))
+        files = {p: len(list((tmp_path / "t" / f"p={p}").glob("*.parquet"))) for p in (0, 1)}
+        assert files[0] > 2 and t.read().count() == 200_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)

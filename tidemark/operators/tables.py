@@ -1,7 +1,9 @@
 """Tables that change: parquet folders, partitioned by one column, of which writes replace whole partitions.
 
 A table lives in the shared folder that the cluster names in spark.checkpoint.dir, or wherever a path says. Every write replaces only the
-partitions that it touches (dynamic partition overwrite), so a job that fails leaves the others as they are, and one that runs again writes the same.
+partitions that it touches (dynamic partition overwrite), so a job that fails leaves the others as they are, and one that runs again writes the same. A large
+partition is written by several tasks, as Spark rebalances what it writes. A change that stops half way is finished by the next read or change; readers
+meanwhile may see some partitions changed and others not. One writer at a time.
 """
 
 from __future__ import annotations
@@ -36,11 +38,12 @@ class Table:
         self.spark, self.path, self.part, self.schema = spark, path, part, None
 
     def read(self) -> DataFrame:
+        self.recover()
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         self.schema = self.schema or rows.schema
-        rows.select(self.schema.names).repartition(self.part).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(self.part).parquet(self.path)
+        rows.select(self.schema.names).hint("rebalance", self.part).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(self.part).parquet(self.path)
 
     def append(self, rows: DataFrame) -> DataFrame:
         """Adds rows and returns them."""
@@ -55,14 +58,26 @@ class Table:
         """Rewrites the partitions named by `touched` (one column, the partition) as f of their rows. A partition that f leaves no row of
         is emptied. New rows are written beside the table before they replace anything, as they derive from what they replace.
         """
-        aside = f"{self.path}-{uuid.uuid4().hex[:8]}"
+        self.recover()
+        aside = f"{self.path}-change"
         touched.select(F.col(touched.columns[0]).alias(self.part)).distinct().write.parquet(f"{aside}/parts")
         parts = self.spark.read.schema(f"`{self.part}` {self.schema[self.part].dataType.simpleString()}").parquet(f"{aside}/parts")
-        f(_same(self.read(), parts, self.part, "left_semi")).select(self.schema.names).write.parquet(f"{aside}/rows")
-        new = self.spark.read.schema(self.schema).parquet(f"{aside}/rows")
-        emptied = _same(parts, new.select(self.part).distinct(), self.part, "left_anti")
-        self._write(new, "overwrite")
-        self._drop(emptied)
+        old = self.spark.read.schema(self.schema).parquet(self.path)
+        f(_same(old, parts, self.part, "left_semi")).select(self.schema.names).write.parquet(f"{aside}/rows")
+        self.recover()
+
+    def recover(self) -> None:
+        """Puts a change in place that has been written beside the table; what was not written to its end is forgotten. Doing it twice does no harm."""
+        aside = f"{self.path}-change"
+        if not self._exists(aside):
+            return
+        if self._exists(f"{aside}/rows/_SUCCESS"):
+            if self.schema is None:
+                self.schema = self.spark.read.parquet(f"{aside}/rows").schema
+            new = self.spark.read.schema(self.schema).parquet(f"{aside}/rows")
+            parts = self.spark.read.schema(f"`{self.part}` {self.schema[self.part].dataType.simpleString()}").parquet(f"{aside}/parts")
+            self._write(new, "overwrite")
+            self._drop(_same(parts, new.select(self.part).distinct(), self.part, "left_anti"))
         self._delete(aside)
 
     def upsert(self, rows: DataFrame, keys: list[str], merge: dict[str, Callable[[str], Column]]) -> None:
@@ -94,6 +109,10 @@ class Table:
             value = "__HIVE_DEFAULT_PARTITION__" if r[0] is None else self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(r[0]))
             self._delete(f"{self.path}/{self.part}={value}")
 
+    def _exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def _delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
