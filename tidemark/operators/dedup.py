@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import features, title_overlap
+from tidemark.functions.text import features, title_overlap, tokens
+from tidemark.operators.tables import shared_folder
 
 
 def first_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -55,15 +56,45 @@ def band_pairs(stories: DataFrame) -> DataFrame:
     return both.filter(~earlier).select("a", "b")
 
 
-def near_pairs(stories: DataFrame, merge: int = 3, maybe: int = 16) -> DataFrame:
+def candidate_pairs(own: DataFrame, overlap: float, hot: int) -> DataFrame:
+    """(id, other) of (id, sig, title) that share a band and can be within 3 bits or `overlap` in title: all pairs of a band up to `hot` titles.
+
+    In a band of more, where all pairs would be a square, a second key decides: what is within 3 bits elsewhere has one of four twelfths of the 48 other
+    bits alike, and what overlaps by that share has one of its rarest words in common (of n words all but overlap * n, and one more). So
+    no pair that counts is lost, however large the band is.
+    """
+    banded = own.select("id", "sig", F.posexplode(bands(F.col("sig"))).alias("no", "band"))
+    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("band")
+    cool = banded.join(crowded, "band", "left_anti").select("band", "id")
+    pairs = cool.join(cool.withColumnRenamed("id", "other"), "band").filter("id < other").select("id", "other")
+    full = banded.join(crowded, "band", "left_semi")
+    rest = F.expr("CASE WHEN no = 0 THEN shiftrightunsigned(sig, 16) WHEN no = 3 THEN sig & 281474976710655 ELSE shiftrightunsigned(sig, 16 * (no + 1)) | shiftleft(sig & (shiftleft(1L, 16 * no) - 1), 48 - 16 * no) END")
+    pieces = full.withColumn("rest", rest).select("band", "id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.concat(F.lit("#"), k.cast("string"), F.lit(" "), F.call_function("shiftrightunsigned", F.col("rest"), 12 * k).bitwiseAND(F.lit(4095)).cast("string")))).alias("key"))
+    said = full.select("id").distinct().join(own.select("id", F.explode(tokens(F.col("title"), 2)).alias("word")), "id")
+    common = said.groupBy("word").agg(F.count("*").alias("n"))
+    rare = said.join(common, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+    rare = rare.select("id", F.explode(F.slice("w", F.lit(1), (F.size("w") - F.ceil(F.lit(overlap) * F.size("w")) + 1).cast("int"))["word"]).alias("key"))
+    keyed = pieces.unionByName(full.select("band", "id").join(rare, "id"))
+    return pairs.unionByName(keyed.join(keyed.withColumnRenamed("id", "other"), ["band", "key"]).filter("id < other").select("id", "other")).distinct()
+
+
+def near_pairs(stories: DataFrame, merge: int = 3, maybe: int = 16, overlap: float = 0.25, hot: int = 1024) -> DataFrame:
     """(id, source, title, sig) to candidate pairs with an outcome: auto, title or ambiguous; pairs that are neither near nor alike in title are rejected.
 
     Candidates share a band and differ in source; stories of one source with equal signature and title are one candidate, the
     first of them. `first_stories` leads from every story to its candidate, so that each has its outcomes without a row for each pair of copies.
+    Titles travel only for pairs whose signatures are near. `merge` is at most 3, which four bands cover.
     """
-    pairs = band_pairs(stories)
-    pairs = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))).alias("distance"), title_overlap(F.col("a.title"), F.col("b.title")).alias("overlap"))
-    outcome = F.when(F.col("distance") <= merge, "auto").when((F.col("distance") > maybe) | (F.col("overlap") < 0.25), "reject").when(F.col("overlap") >= 0.6, "title").otherwise("ambiguous")
+    path = f"{shared_folder(stories.sparkSession, 'near-titles')}/own"  # written, as signatures are costly and read several times
+    stories.groupBy("sig", "source", "title").agg(F.min("id").alias("id")).write.parquet(path)
+    own = stories.sparkSession.read.parquet(path)
+    side = lambda name, *columns: own.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    pairs = candidate_pairs(own.select("id", "sig", "title"), overlap, hot).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    pairs = pairs.join(side("a", "sig", "source"), "a").join(side("b", "sig", "source"), "b").filter("a_source <> b_source")
+    pairs = pairs.withColumn("distance", F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig")))).filter(F.col("distance") <= max(merge, maybe))
+    pairs = pairs.select("a", "b", "distance").join(side("a", "title"), "a").join(side("b", "title"), "b")
+    pairs = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "distance", title_overlap(F.col("a_title"), F.col("b_title")).alias("overlap"))
+    outcome = F.when(F.col("distance") <= merge, "auto").when((F.col("distance") > maybe) | (F.col("overlap") < overlap), "reject").when(F.col("overlap") >= 0.6, "title").otherwise("ambiguous")
     return pairs.withColumn("outcome", outcome).filter("outcome <> 'reject'")
 
 
