@@ -6,9 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Stop words and character ranges.
-EN = "the and for that with this from have has not are was were you your but they their which when what about would there been more will can all into than them these some also other only over".split()
-DE = "der die das und ist nicht ein eine einen einem mit auf für von den dem des sich auch sind wird werden wurde noch nach bei aber oder wenn sie man kann mehr schon durch über unter wie".split()
-OTHER_LATIN = "les des une pour dans est sur avec sont plus que los las por para con una como este pero não uma são mais pelo che per del sono anche come het een van zijn niet voor maar och att som för inte med".split()
+EN = [
+    "the", "and", "for", "that", "with", "this", "from", "have", "has", "not", "are", "was", "were", "you", "your", "but", "they", "their", "which",
+    "when", "what", "about", "would", "there", "been", "more", "will", "can", "all", "into", "than", "them", "these", "some", "also", "other", "only",
+    "over",
+]
+DE = [
+    "der", "die", "das", "und", "ist", "nicht", "ein", "eine", "einen", "einem", "mit", "auf", "für", "von", "den", "dem", "des", "sich", "auch", "sind",
+    "wird", "werden", "wurde", "noch", "nach", "bei", "aber", "oder", "wenn", "sie", "man", "kann", "mehr", "schon", "durch", "über", "unter", "wie",
+]
+OTHER_LATIN = [
+    "les", "des", "une", "pour", "dans", "est", "sur", "avec", "sont", "plus", "que", "los", "las", "por", "para", "con", "una", "como", "este", "pero",
+    "não", "uma", "são", "mais", "pelo", "che", "per", "del", "sono", "anche", "come", "het", "een", "van", "zijn", "niet", "voor", "maar", "och", "att",
+    "som", "för", "inte", "med",
+]
 KANA, HAN, HANGUL = "[぀-ヿ]", "[㐀-䶿一-鿿豈-﫿]", "[가-힯ᄀ-ᇿ]"
 FOREIGN = ["[Ѐ-ӿ]", "[؀-ۿ]", "[ऀ-ॿ]", "[฀-๿]", "[Ͱ-Ͽ]"]
 CJK = "[぀-ゟ゠-ヿ㐀-䶿一-鿿豈-﫿가-힯]"

@@ -11,15 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Query parameters that only track, those of affiliate links with their paths and networks, and suffixes of two labels.
-TRACKING_PREFIXES = "utm_ pk_ mtm_ matomo_ hsa_ vero_ wt_".split()
-TRACKING_PARAMS = (
-    "fbclid gclid gclsrc dclid msclkid twclid igshid ttclid mc_cid mc_eid yclid _hsenc _hsmi oly_anon_id oly_enc_id source campaign medium spm scm from share_source "
-    "ref referrer referral aff affiliate affiliate_id partner tag sub_id subid clickid irclickid sscid cjevent at_medium at_campaign CMP ncid sr_share guccounter"
-).split()
-AFFILIATE_PARAMS = "ref aff affiliate affiliate_id partner partnerid tag irclickid sscid clickid cjevent sub_id".split()
+TRACKING_PREFIXES = [
+    "utm_", "pk_", "mtm_", "matomo_", "hsa_", "vero_", "wt_",
+]
+TRACKING_PARAMS = [
+    "fbclid", "gclid", "gclsrc", "dclid", "msclkid", "twclid", "igshid", "ttclid", "mc_cid", "mc_eid", "yclid", "_hsenc", "_hsmi", "oly_anon_id",
+    "oly_enc_id", "source", "campaign", "medium", "spm", "scm", "from", "share_source", "ref", "referrer", "referral", "aff", "affiliate",
+    "affiliate_id", "partner", "tag", "sub_id", "subid", "clickid", "irclickid", "sscid", "cjevent", "at_medium", "at_campaign", "CMP", "ncid",
+    "sr_share", "guccounter",
+]
+AFFILIATE_PARAMS = [
+    "ref", "aff", "affiliate", "affiliate_id", "partner", "partnerid", "tag", "irclickid", "sscid", "clickid", "cjevent", "sub_id",
+]
 AFFILIATE_PATHS = ["/go/", "/out/", "/recommends/", "/aff/", "/deal/", "/r/"]
 AFFILIATE_HOSTS = r"(?i)(^|\.)(shareasale|impact|awin|cj|clickbank|linksynergy|partnerize)\."
-TWO_LEVEL = "co.uk org.uk ac.uk gov.uk co.jp or.jp ne.jp ac.jp com.cn net.cn org.cn gov.cn com.au net.au org.au com.br com.mx co.in co.nz co.za com.tr".split()
+TWO_LEVEL = [
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "co.jp", "or.jp", "ne.jp", "ac.jp", "com.cn", "net.cn", "org.cn", "gov.cn", "com.au", "net.au", "org.au",
+    "com.br", "com.mx", "co.in", "co.nz", "co.za", "com.tr",
+]
 #: A parameter is compared in lower case, so the one written in capitals never fits.
 TRACKING = "^(" + "|".join([f"{x}.*" for x in TRACKING_PREFIXES] + TRACKING_PARAMS) + ")$"
 CJK = "[぀-ゟ゠-ヿ㐀-䶿一-鿿豈-﫿가-힯]"
@@ -233,7 +242,9 @@ def url_key(url: Column) -> Column:
 
 
 # Words that carry no identity, and what separates words of a name.
-NO_IDENTITY = "the a an of and for to me my".split()
+NO_IDENTITY = [
+    "the", "a", "an", "of", "and", "for", "to", "me", "my",
+]
 NAME_BORDERS = "[()\\[\\]{}.,:;!?\"'’/\\-]+"
 
 

@@ -33,19 +33,30 @@ def capped_top(df: DataFrame, group: str, source: str, order: list, per_source:
 
 
 # Names that are ordinary words, which count only as their owner writes them, and words that never name a technology.
-AMBIGUOUS_COMPANIES = "meta|arm|apple|oracle|linear app|cursor|spring|go|redis|neon|slack|element|canonical|sentry|grok|docker".split("|")
-AMBIGUOUS_NAMES = (
-    "ant|cat|top|less|more|tree|make|fish|dash|ash|sed|awk|yes|test|time|date|sort|join|split|seq|go|d|r|c|hack|ent|uv|nx|next|rust|swift|kotlin|dart|elm|julia|crystal|nim|zig|v|ada|"
-    "spring|struts|play|meteor|ember|backbone|knockout|redis|neon|druid|presto|hive|pig|storm|flink|beam|arrow|parquet|avro|thrift|mesa|wayland|sway|i3|atom|brackets|light table|"
-    "processing|unity|unreal|godot|chef|puppet|salt|consul|vault|nomad|packer|habitat|element|signal|session|matrix|delta|iceberg|hudi|lens|helm|flux|argo|linkerd|envoy|contour|ambassador|"
-    "drone|cargo|ring|red|arg|oop|swoop|native|jet|bond|pilot|scout|sentry|falcon|phoenix|comet|rocket|anchor|compass|atlas|mercury|saturn|apollo|orion"
-).split("|")
-GENERIC = (
-    "api|apis|app|apps|application|art|bot|bots|cli|sdk|web|ui|ux|data|code|dev|ops|list|lists|awesome|tutorial|tutorials|example|examples|sample|samples|demo|project|projects|library|libraries|"
-    "framework|frameworks|tool|tools|server|client|game|games|music|video|image|images|text|file|files|json|xml|http|https|test|tests|testing|build|deploy|design|style|theme|plugin|plugins|package|"
-    "packages|module|modules|script|scripts|template|templates|config|setup|install|guide|book|books|course|blog|news|chat|mail|email|search|database|db|cloud|mobile|desktop|terminal|shell|editor|"
-    "browser|network|security|privacy|monitoring|analytics|documentation|docs|readme|license|open-source|opensource|algorithm|algorithms|protocol|format|standard|spec"
-).split("|")
+AMBIGUOUS_COMPANIES = [
+    "meta", "arm", "apple", "oracle", "linear app", "cursor", "spring", "go", "redis", "neon", "slack", "element", "canonical", "sentry", "grok",
+    "docker",
+]
+AMBIGUOUS_NAMES = [
+    "ant", "cat", "top", "less", "more", "tree", "make", "fish", "dash", "ash", "sed", "awk", "yes", "test", "time", "date", "sort", "join", "split",
+    "seq", "go", "d", "r", "c", "hack", "ent", "uv", "nx", "next", "rust", "swift", "kotlin", "dart", "elm", "julia", "crystal", "nim", "zig", "v",
+    "ada", "spring", "struts", "play", "meteor", "ember", "backbone", "knockout", "redis", "neon", "druid", "presto", "hive", "pig", "storm", "flink",
+    "beam", "arrow", "parquet", "avro", "thrift", "mesa", "wayland", "sway", "i3", "atom", "brackets", "light table", "processing", "unity", "unreal",
+    "godot", "chef", "puppet", "salt", "consul", "vault", "nomad", "packer", "habitat", "element", "signal", "session", "matrix", "delta", "iceberg",
+    "hudi", "lens", "helm", "flux", "argo", "linkerd", "envoy", "contour", "ambassador", "drone", "cargo", "ring", "red", "arg", "oop", "swoop",
+    "native", "jet", "bond", "pilot", "scout", "sentry", "falcon", "phoenix", "comet", "rocket", "anchor", "compass", "atlas", "mercury", "saturn",
+    "apollo", "orion",
+]
+GENERIC = [
+    "api", "apis", "app", "apps", "application", "art", "bot", "bots", "cli", "sdk", "web", "ui", "ux", "data", "code", "dev", "ops", "list", "lists",
+    "awesome", "tutorial", "tutorials", "example", "examples", "sample", "samples", "demo", "project", "projects", "library", "libraries", "framework",
+    "frameworks", "tool", "tools", "server", "client", "game", "games", "music", "video", "image", "images", "text", "file", "files", "json", "xml",
+    "http", "https", "test", "tests", "testing", "build", "deploy", "design", "style", "theme", "plugin", "plugins", "package", "packages", "module",
+    "modules", "script", "scripts", "template", "templates", "config", "setup", "install", "guide", "book", "books", "course", "blog", "news", "chat",
+    "mail", "email", "search", "database", "db", "cloud", "mobile", "desktop", "terminal", "shell", "editor", "browser", "network", "security",
+    "privacy", "monitoring", "analytics", "documentation", "docs", "readme", "license", "open-source", "opensource", "algorithm", "algorithms",
+    "protocol", "format", "standard", "spec",
+]
 
 
 def _capitals(alias: Column) -> Column:
