@@ -12,6 +12,12 @@ def calendar(spark: SparkSession, first: str, last: str, step: str, name: str =
     return spark.range(1).select(F.explode(F.sequence(day(first), day(last), F.expr(f"INTERVAL {step}"))).alias(name))
 
 
+def calendar_of(rows: DataFrame, at: str, name: str, step: str) -> DataFrame:
+    """Days in steps such as `7 days`, from the start of the first row's `name` (week, month) to the last row: one pass for the bounds, whose one row is expanded."""
+    bounds = rows.agg(F.min(F.date_trunc(name, at)).cast("date").alias("first"), F.max(at).cast("date").alias("last"))
+    return bounds.select(F.explode(F.sequence("first", "last", F.expr(f"INTERVAL {step}"))).alias(name))
+
+
 def strict_date(text: Column) -> Column:
     """A day of the form 2024-01-31 that exists, else null."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))

@@ -132,9 +132,10 @@ def s19_unpivoted_counters(spark, d):
     return joins.unpivoted(_t(spark, d, "events").select("event_type", body.alias("body")), "body").groupBy("event_type", "name").agg(F.sum("value").alias("total"))
 
 
-@query("SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-03-04', INTERVAL 7 DAY))::DATE AS week", date="week")
+@query("SELECT unnest(generate_series(min(date_trunc('week', o_orderdate))::DATE, max(o_orderdate)::DATE, INTERVAL 7 DAY))::DATE AS week FROM orders", date="week")
 def s20_calendar(spark, d):
-    return dates.calendar(spark, "2023-12-25", "2024-03-04", "7 days", "week")
+    """Every Monday from the week of the first order to the last, whether or not anything was ordered."""
+    return dates.calendar_of(_t(spark, d, "orders"), "o_orderdate", "week", "7 days")
 
 
 @query("SELECT slug, place, count(p_partkey) AS n FROM (VALUES ('ring', 1), ('bolt', 2), ('nothing', 3)) f(slug, place) LEFT JOIN part ON ends_with(p_name, ' ' || slug) GROUP BY 1, 2")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import jsons, scores, search, text
 from tidemark.operators import dedup
+from tidemark.plans.analytics import _GRAMS
 from tidemark.plans.catalogue import _t, query
 
 _NORMAL = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -217,10 +218,10 @@ def m6_freshness(spark, d):
     return rows.select("l_orderkey", "l_linenumber", scores.freshness(hours).alias("freshness"))
 
 
-@query("SELECT i / 100.0::DOUBLE AS similarity, round((1 - i / 100.0::DOUBLE) * 64)::INT AS bits FROM range(101) r(i)")
+@query(f"WITH n AS (SELECT p_partkey, {_GRAMS.format('p_name')} AS a, {_GRAMS.format(chr(39) + 'small ring' + chr(39))} AS b FROM part) SELECT p_partkey, round((1 - len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b)))) * 64)::INT AS bits FROM n")
 def m9_bits_of_similarity(spark, d):
-    s = (F.col("id") / 100).alias("similarity")
-    return spark.range(101).select(s).select("similarity", scores.distance_from_similarity(F.col("similarity")).alias("bits"))
+    """In how many bits of 64 the signature of each part's name may differ from that of one name, by their similarity."""
+    return _t(spark, d, "part").select("p_partkey", scores.distance_from_similarity(text.similarity(F.col("p_name"), F.lit("small ring"))).alias("bits"))
 
 
 @query("SELECT o_orderkey, round((o_orderkey % 10) * (1 + 1 / (1 + date_diff('day', o_orderdate, TIMESTAMP '2001-08-01') / 30.0::DOUBLE)), 9) AS rank FROM orders")
