@@ -41,3 +41,32 @@ def test_item_reasons(spark):
     df = spark.createDataFrame([(None, "t", None), ("l", " ", None), ("l", "t", True), ("l", "t", None)], "link string, title string, media boolean")
     reason = evaluation.item_reason(F.col("link"), F.col("title"), F.col("media"), F.lit(None).cast("boolean"), F.lit("en"), F.lit(None).cast("boolean"), ["en"])
     assert [r.r for r in df.select(reason.alias("r")).collect()] == ["no_link", "no_title", "media_enclosure", "too_short"]
+
+
+def test_kept_judgements(spark, tmp_path):
+    """Each prompt is asked once over all runs, but what failed; another version of the prompt is asked anew."""
+    from tidemark.operators.tables import Table
+
+    folder = tmp_path / "asked"
+    folder.mkdir()
+
+    def scorer(prompts):
+        for p in prompts:
+            with (folder / p).open("a") as f:
+                f.write("x")
+        return prompts.str.upper().where(prompts != "c", "bad")
+
+    cache = Table(spark, f"file://{tmp_path}/cache", "part")
+    ask = lambda rows, version=1, who=scorer: sorted((r.k, r.answer, r.outcome) for r in models.judge_and_keep(spark.createDataFrame(rows, "k int, prompt string"), "prompt", "job", version, cache, who, lambda a: a != "bad").collect())
+    assert ask([(1, "a"), (2, "a"), (3, "c")]) == [(1, "A", "ok"), (2, "A", "ok"), (3, None, "invalid")]
+    assert ask([(1, "a"), (3, "c"), (4, "d")]) == [(1, "A", "cached"), (3, None, "invalid"), (4, "D", "ok")]
+    assert ask([(1, "a"), (5, "e")], who=None) == [(1, "A", "cached"), (5, None, "deferred")]
+    assert ask([(1, "a")], 2) == [(1, "A", "ok")] and ask([]) == []
+    assert {p.name: len(p.read_text()) for p in folder.iterdir()} == {"a": 2, "c": 2, "d": 1}
+
+
+def test_pairs_beyond_the_cap_wait(spark):
+    pairs = spark.createDataFrame([(i, i + 1, i % 5, "ambiguous") for i in range(30)] + [(90, 91, 0, "title")], "id long, other long, distance int, outcome string")
+    got = models.ambiguous_pairs(pairs, spark.createDataFrame([("0|1", "yes"), ("5|6", "no")], "pair string, answer string"), most=7).collect()
+    near = sorted(range(30), key=lambda i: (i % 5, i))[:7]
+    assert {r.id: (r.same, r.outcome) for r in got} == {i: (i == 0, "cached" if i in (0, 5) else "deferred" if i in near else "waiting") for i in range(30)}

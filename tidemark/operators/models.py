@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.tables import Table, shared_folder
+
 Scorer = Callable[[pd.Series], pd.Series]
 
 
@@ -35,11 +37,40 @@ def judged(rows: DataFrame, key: str, prompt: str, cache: DataFrame, scorer: Sco
     return rows.join(every, key, "left")
 
 
+def prompt_key(job: str, version: int, prompt: Column) -> Column:
+    """What an answer is kept under: the job, the version of its prompt and the prompt, so that a new wording is asked anew."""
+    return F.sha2(F.concat_ws("\n", F.lit(job), F.lit(version).cast("string"), F.coalesce(prompt, F.lit(""))), 256)
+
+
+def judge_and_keep(rows: DataFrame, prompt: str, job: str, version: int, cache: Table, scorer: Scorer | None = None, check: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The rows with `answer` and `outcome` as `judged` gives them, new answers that pass the check written back to the cache.
+
+    The cache is a table (part, job, version, input, answer) by `part`, the job; it may be empty. Each distinct prompt is asked once: answers are
+    written beside the table first and both the cache and the result read that. Answers that fail and what was deferred are asked again the next time.
+    """
+    spark = rows.sparkSession
+    if cache.schema is None:
+        cache.append(spark.createDataFrame([], "part string, job string, version int, input string, answer string"))
+    keyed = rows.withColumn("_key", prompt_key(job, version, F.col(prompt)))
+    known = cache.read().filter((F.col("part") == job) & (F.col("version") == version)).select(F.col("input").alias("_key"), "answer")
+    one = keyed.select("_key", F.col(prompt).alias("_prompt")).distinct()
+    path = f"{shared_folder(spark, 'answers')}/new"
+    judged(one, "_key", "_prompt", known, scorer, check).select("_key", "answer", "outcome").write.parquet(path)
+    answers = spark.read.parquet(path)
+    fresh = answers.filter("outcome = 'ok'").select(F.lit(job).alias("part"), F.lit(job).alias("job"), F.lit(version).alias("version"), F.col("_key").alias("input"), "answer")
+    if not fresh.isEmpty():
+        cache.append(fresh)
+    return keyed.join(answers, "_key", "left").drop("_key")
+
+
 def ambiguous_pairs(pairs: DataFrame, cache: DataFrame, scorer: Scorer | None = None, most: int = 200) -> DataFrame:
-    """(id, other, same) of ambiguous pairs: the nearest `most` are judged, `yes` merges them, all else keeps them apart, as a wrong merge loses a story."""
-    chosen = pairs.filter("outcome = 'ambiguous'").orderBy("distance", "id", "other").limit(most).select("id", "other", F.concat_ws("|", "id", "other").alias("pair"))
+    """(id, other, same, outcome) of all ambiguous pairs: the nearest `most` are judged, `yes` merges them, all else keeps them apart, as a wrong merge
+    loses a story. Pairs beyond `most` are waiting: apart until a later run takes them."""
+    every = pairs.filter("outcome = 'ambiguous'").select("id", "other", "distance", F.concat_ws("|", "id", "other").alias("pair"))
+    chosen = every.orderBy("distance", "id", "other").limit(most).drop("distance")
     asked = judged(chosen.withColumn("prompt", F.concat(F.lit("Same story? "), "pair")), "pair", "prompt", cache, scorer, lambda a: a.isin("yes", "no"))
-    return asked.select("id", "other", F.coalesce(F.col("answer") == "yes", F.lit(False)).alias("same"))
+    answers = asked.select("pair", F.coalesce(F.col("answer") == "yes", F.lit(False)).alias("same"), "outcome")
+    return every.join(answers, "pair", "left").select("id", "other", F.coalesce("same", F.lit(False)).alias("same"), F.coalesce("outcome", F.lit("waiting")).alias("outcome"))
 
 
 def two_stages(rows: DataFrame, key: str, first: Scorer, second: Scorer, bar: int = 6) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import extract, gates, language
 from tidemark.operators import models
+from tidemark.operators.tables import Table, shared_folder
 from tidemark.plans.catalogue import _t, query
 from tidemark.plans.reader import STORIES, stories
 
@@ -25,9 +26,24 @@ def l1_cached_judgements(spark, d):
     return models.judged(o, "o_custkey", "prompt", cache, scorer, lambda a: a.startswith("yes")).select("o_orderkey", "answer", "outcome")
 
 
-@query("SELECT s_suppkey AS id, s_suppkey + 1 AS other, s_suppkey % 3 = 0 AS same FROM supplier WHERE s_suppkey % 2 = 0 ORDER BY s_suppkey LIMIT 200")
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 4 <> 1 THEN 'yes ' || o_custkey END AS answer, CASE WHEN o_custkey % 4 = 1 THEN 'invalid' WHEN EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderdate < TIMESTAMP '1998-01-01') THEN 'cached' ELSE 'ok' END AS outcome FROM orders o")
+def l1_kept_judgements(spark, d):
+    """Two runs over one cache: what the first asked about older orders, the second finds; answers that failed are asked again."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderdate", F.concat(F.lit("about "), F.col("o_custkey").cast("string")).alias("prompt"))
+    cache = Table(spark, f"{shared_folder(spark, 'judgements')}/cache", "part")
+
+    def scorer(prompts: pd.Series) -> pd.Series:
+        n = prompts.str.removeprefix("about ")
+        return ("yes " + n).where(n.astype(int) % 4 != 1, "cannot say")
+
+    ask = lambda rows: models.judge_and_keep(rows, "prompt", "about", 1, cache, scorer, lambda a: a.startswith("yes"))
+    ask(o.filter("o_orderdate < DATE '1998-01-01'"))
+    return ask(o).select("o_orderkey", "answer", "outcome")
+
+
+@query("SELECT s_suppkey AS id, s_suppkey + 1 AS other, n <= 200 AND s_suppkey % 3 = 0 AS same, CASE WHEN n > 200 THEN 'waiting' WHEN s_suppkey % 3 = 0 THEN 'cached' ELSE 'deferred' END AS outcome FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier WHERE s_suppkey % 2 = 0)")
 def c4_judged_pairs(spark, d):
-    """Ambiguous pairs after a model's answers; without one a pair stays apart."""
+    """Ambiguous pairs after the answers that are known; without one a pair stays apart, and beyond two hundred it waits."""
     k = F.col("s_suppkey")
     pairs = _t(spark, d, "supplier").select(k.alias("id"), (k + 1).alias("other"), F.lit(9).alias("distance"), F.when(k % 2 == 0, "ambiguous").otherwise("title").alias("outcome"))
     cache = pairs.filter("id % 3 = 0").select(F.concat_ws("|", "id", "other").alias("pair"), F.lit("yes").alias("answer"))
