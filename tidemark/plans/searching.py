@@ -10,7 +10,7 @@ from tidemark.plans.catalogue import _t, query
 #: Forms of three stems by hand: what the rules of English take off them.
 _FORMS = {
     "thing": "thing(?:s|e|es|ed|edly|ing|ings|ingly|ly|lyed|lying)?",
-    "ertion": "ertion(?:s|e|es|ed|edly|er|ers|ered|erly|ing|ings|ingly|ly|lying|al|e?able|e?ant|e?ation|ates?)?",
+    "ertion": "ertion(?:s|e|es|ed|edly|er|ers|ered|erly|ing|ings|ingly|ly|lyed|lying|al|e?able|e?ant|e?ation|ates?)?",
     "attion": "attion(?:s|e|es|ed|edly|er|ers|ing|ings|ingly|ly|al|able)?",
     "licens": "licens(?:e|es|ed|er|ers|ing|ings|able)",
 }
