@@ -48,7 +48,7 @@ def brute(query, text):
 def indexed(spark):
     rng = random.Random(1)
     vocabulary = ["running", "runs", "the", "cat", "cats", "of", "dogs", "dog", "license", "licensed", "blue", "x9"]
-    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(25)))) for i in range(60)] + [(100, None), (101, ""), (102, "Open-Source dogs!"), (103, "run " * 300), (None, "cats")]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(25)))) for i in range(60)] + [(100, None), (101, ""), (102, "Open-Source dogs!"), (103, "run " * 30), (None, "cats")]
     rows = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "'x' AS id", "1 AS term").repartition(3)
     return docs, SearchIndex.build(rows, "doc_id", F.col("text"))
 
