@@ -50,3 +50,11 @@ def test_near_titles(spark):
     for (a, b), r in got.items():
         x, y = ({w for w in rows[i][1] if len(w) > 2} for i in (a, b))
         assert rows[a][0] != rows[b][0] and abs(r.overlap - (len(x & y) / len(x | y) if x | y else 0)) < 1e-9
+
+
+def test_references_cut_short_stay_and_advertisements_are_no_article():
+    assert article("<div><p>R&amp;D &amp</p></div>") == ("div", [("paragraph", "R&D &amp")])
+    ad = "<div class='Top ad'><div>" + "Buy this. " * 20 + "</div></div>"
+    assert article(f"<body>{ad}<article><p>short</p></article></body>")[0] == "body"
+    assert article(f"{ad}<section><p>short</p></section>")[0] == "section"
+    assert article(ad)[0] == "div"
