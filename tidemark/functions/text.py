@@ -123,9 +123,10 @@ def is_cjk(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Words of the comparable form; characters without blanks where the text is CJK."""
+    """Words of the comparable form; characters without blanks where the text is CJK. CJK is written without blanks, so one beside it is left of punctuation and no character of the text."""
     form = compare_form(text)
-    return F.when(is_cjk(form), F.length(F.regexp_replace(form, r"\s+", ""))).when(form == "", 0).otherwise(F.size(F.split(form, " ")))
+    written = F.regexp_replace(form, f" (?={CJK})|(?<={CJK}) ", "")
+    return F.when(is_cjk(written), F.length(F.regexp_replace(form, r"\s+", ""))).when(form == "", 0).otherwise(F.size(F.split(form, " ")))
 
 
 def runs(units: Column, size: int, between: str) -> Column:
