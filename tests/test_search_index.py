@@ -79,3 +79,12 @@ def test_postings_lie_sorted(indexed):
 def test_nothing_to_index(spark):
     index = SearchIndex.build(spark.createDataFrame([], "k long, t string"), "k", F.col("t"))
     assert index.search("a b").count() == 0 and index.search("-dog").count() == 0
+
+
+def test_listed_forms(spark):
+    """A dictionary decides on the words of its stems; others are stemmed by the rules."""
+    rows = spark.createDataFrame([(1, "ertions"), (2, "ertionator"), (3, "ertionating things"), (4, "thing ertioned")], "id long, text string")
+    for forms, want in ((None, {1, 2, 3, 4}), ({"ertion": "ertion(?:s|ed)?"}, {1, 4})):
+        index = SearchIndex.build(rows, "id", F.col("text"), forms=forms)
+        assert {r.id for r in index.search("ertions").collect()} == want
+        assert {r.id for r in index.search("things").collect()} == {3, 4}

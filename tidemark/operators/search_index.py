@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.search import parse_query
-from tidemark.functions.stemming import STOP_WORDS, stem
+from tidemark.functions.stemming import STOP_WORDS, stem_by
 from tidemark.functions.text import compare_form
 from tidemark.operators.tables import shared_folder
 
@@ -22,20 +22,21 @@ REMEMBERED = 1 << 17
 BASE_WEIGHT = 0.1
 
 
-def _stems(words: list[str], memory: dict[str, str | None]) -> list[str | None]:
+def _stems(words: list[str], memory: dict[str, str | None], forms: dict[str, str]) -> list[str | None]:
     """Stems, null for stop words and for the empty word."""
     if len(memory) > REMEMBERED:
         memory.clear()
     for w in words:
         if w not in memory:
-            memory[w] = None if w in STOP_WORDS or not w else stem(w)
+            memory[w] = None if w in STOP_WORDS or not w else stem_by(w, forms)
     return [memory[w] for w in words]
 
 
-def postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
+def postings(rows: DataFrame, key: str, text: Column, forms: dict[str, str] | None = None) -> DataFrame:
     """(id, term, positions): where each stem stands in each text, counting all its words from 1, stop words too.
 
-    Words are runs of letters and digits in lower case. A null text has none. Each distinct word of a batch is stemmed once.
+    Words are runs of letters and digits in lower case. A null text has none. Each distinct word of a batch is stemmed once,
+    those of the stems in `forms` by its patterns.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +48,7 @@ def postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
             words, ends = lists.flatten(), lists.offsets.to_numpy()
             ends = ends - ends[0]
             coded = words.dictionary_encode()
-            terms = pa.array(_stems(coded.dictionary.to_pylist(), memory), pa.string()).dictionary_encode()
+            terms = pa.array(_stems(coded.dictionary.to_pylist(), memory, forms or {}), pa.string()).dictionary_encode()
             term = pc.take(terms.indices, coded.indices).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             position = np.arange(len(row)) - ends[:-1][row] + 1
@@ -71,7 +72,7 @@ class Query:
     alternatives: tuple[tuple[frozenset[int], frozenset[int]], ...]
 
     @classmethod
-    def parse(cls, typed: str, widened: bool = False) -> Query:
+    def parse(cls, typed: str, widened: bool = False, forms: dict[str, str] | None = None) -> Query:
         """"a phrase", -word, `or` between alternatives; blanks mean and. Stop words are left out, in phrases they keep their
         place. Widened: any of the wanted words and phrases will do."""
         units: dict[tuple[tuple[int, str], ...], int] = {}
@@ -79,7 +80,7 @@ class Query:
         for alternative in parse_query(typed):
             sides: tuple[set[int], set[int]] = set(), set()
             for wanted, words in alternative:
-                kept = [(k, stem(w)) for k, w in enumerate(words.split(" ")) if w not in STOP_WORDS]
+                kept = [(k, stem_by(w, forms or {})) for k, w in enumerate(words.split(" ")) if w not in STOP_WORDS]
                 if kept:
                     unit = tuple((k - kept[0][0], s) for k, s in kept)
                     sides[not wanted].add(units.setdefault(unit, len(units)))
@@ -97,16 +98,16 @@ class SearchIndex:
     """Postings in parquet, sorted by term and id over all files, so that the rows of a term lie together: a search reads the row groups
     whose range holds a wanted term. The range partitioning splits a term that stands in every text over many files. Ids lie beside them."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, forms: dict[str, str] | None = None):
+        self.spark, self.path, self.forms = spark, path, forms
 
     @classmethod
-    def build(cls, rows: DataFrame, key: str, text: Column, path: str | None = None, files: int | None = None) -> SearchIndex:
-        """An index of `rows`, whose keys are unique; rows without a key are not in it."""
+    def build(cls, rows: DataFrame, key: str, text: Column, path: str | None = None, files: int | None = None, forms: dict[str, str] | None = None) -> SearchIndex:
+        """An index of `rows`, whose keys are unique; rows without a key are not in it. `forms` lists the forms of some stems, for texts and queries."""
         spark = rows.sparkSession
-        index = cls(spark, path or shared_folder(spark, "search"))
+        index = cls(spark, path or shared_folder(spark, "search"), forms)
         rows = rows.filter(F.col(key).isNotNull())
-        postings(rows, key, text).write.mode("overwrite").parquet(f"{index.path}/unsorted")  # so that sampling for the ranges does not stem all texts again
+        postings(rows, key, text, forms).write.mode("overwrite").parquet(f"{index.path}/unsorted")  # so that sampling for the ranges does not stem all texts again
         found = spark.read.parquet(f"{index.path}/unsorted")
         dealt = found.repartitionByRange(files, "term", "id") if files else found.repartitionByRange("term", "id")
         dealt.sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(f"{index.path}/postings")
@@ -142,7 +143,7 @@ class SearchIndex:
         beginnings of all units so far give the narrowest stretch that ends here, and it is minimal if none before began as late.
         Alternatives that the document does not answer have no covers; documents that answer by unwanted words alone have rank 0.
         """
-        query = Query.parse(typed, widened)
+        query = Query.parse(typed, widened, self.forms)
         nothing = self.ids().select("id", F.lit(0.0).alias("rank"))
         if not query.alternatives:
             return nothing.filter(F.lit(False))
