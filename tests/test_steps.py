@@ -17,7 +17,12 @@ def test_sets_of_stories_are_collected_after_the_shuffle(spark):
     assert not any("l_suppkey" in line for line in dealt_by)
 
 
-@pytest.mark.parametrize("step", [reader._stories])
+def test_tags_are_distinct_before_stories_join(spark):
+    dealt_by = [line for line in _plan(catalogue._tagged(spark, SF)).splitlines() if "hashpartitioning" in line]
+    assert dealt_by and not any("p_brand" in line for line in dealt_by)
+
+
+@pytest.mark.parametrize("step", [reader._stories, catalogue._tagged, catalogue.QUERIES["q2_tag_month_cube"]])
 def test_dealt_by_size(spark, monkeypatch, step):
     rows = lambda: sorted(map(repr, step(spark, SF).collect()))
     few = rows()
