@@ -3,10 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.stemming import STOP_WORDS, stem
+from tidemark.operators import search_index
 from tidemark.operators.search_index import Query, SearchIndex
 
 PAIRS = {
@@ -88,3 +90,13 @@ def test_listed_forms(spark):
         index = SearchIndex.build(rows, "id", F.col("text"), forms=forms)
         assert {r.id for r in index.search("ertions").collect()} == want
         assert {r.id for r in index.search("things").collect()} == {3, 4}
+
+
+def test_pieces_bound_the_text_in_memory(monkeypatch):
+    monkeypatch.setattr(search_index, "PIECE", 10)
+    texts = ["", "aaaa", "b" * 25, "", "cc", "dddd", "eeeee", "f" * 10, ""]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    pieces = list(search_index._pieces(batch))
+    assert [x for p in pieces for x in p["id"].to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or sum(map(len, p["text"].to_pylist())) <= 10 for p in pieces) and len(pieces) == 5
+    assert not list(search_index._pieces(batch.slice(0, 0)))

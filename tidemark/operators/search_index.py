@@ -18,6 +18,8 @@ from tidemark.operators.tables import shared_folder
 
 #: Distinct words whose stems a worker remembers.
 REMEMBERED = 1 << 17
+#: Bytes of text whose words a worker has in memory at a time, some 30 times as much with their places; a longer text is alone.
+PIECE = 1 << 22
 #: What an occurrence without a weight of its own adds to the rank at best.
 BASE_WEIGHT = 0.1
 
@@ -32,6 +34,17 @@ def _stems(words: list[str], memory: dict[str, str | None], forms: dict[str, str
     return [memory[w] for w in words]
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of rows with PIECE bytes of text each, at least one row."""
+    ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        taken = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, taken + PIECE, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def postings(rows: DataFrame, key: str, text: Column, forms: dict[str, str] | None = None) -> DataFrame:
     """(id, term, positions): where each stem stands in each text, counting all its words from 1, stop words too.
 
@@ -41,9 +54,7 @@ def postings(rows: DataFrame, key: str, text: Column, forms: dict[str, str] | No
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, str | None] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             lists = pc.split_pattern(batch["text"], " ")
             words, ends = lists.flatten(), lists.offsets.to_numpy()
             ends = ends - ends[0]
