@@ -1,6 +1,7 @@
 """Near titles where a third of all signatures agree in a band: the pairs of a look at all, from few candidates."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -50,3 +51,16 @@ def test_hot_bands_lose_nothing(spark):
     few = dedup.candidate_pairs(own, 0.25, 4).count()
     assert len(want) > 50 and few < every / 2
     assert dedup.near_pairs(df.filter(F.lit(False))).count() == 0
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Rows travel to their bands, keys and words; what they make there is judged on the spot."""
+    df = spark.createDataFrame([(i, s, t, signed(h)) for i, s, t, h in titles(2, 300)], "id long, source string, title string, sig long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = dedup.near_pairs(df, hot=4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = set(re.findall(r"hashpartitioning\((\w+)#", plan))
+    assert "band" in moved and moved <= {"band", "id", "word"} and not re.search(r"hashpartitioning\(id#\w+, [a-z]", plan)

@@ -48,34 +48,49 @@ def band_pairs(stories: DataFrame) -> DataFrame:
     own = first.select(F.struct("id", "source", "title", "sig").alias("s"), F.posexplode(bands(F.col("sig"))).alias("no", "band"))
     a, b = own.select(F.col("s").alias("a"), "no", "band"), own.select(F.col("s").alias("b"), "band")
     both = a.join(b, "band").filter((F.col("a.id") < F.col("b.id")) & (F.col("a.source") != F.col("b.source")))
+    return both.filter(_first_shared()).select("a", "b")
+
+
+def _first_shared() -> Column:
+    """Whether band `no` is the first that structs a and b share."""
     differ = F.col("a.sig").bitwiseXOR(F.col("b.sig"))
     earlier = F.when(F.col("no") == 0, F.lit(False))
     for no in (1, 2, 3):
         shared = [F.shiftrightunsigned(differ, 16 * i).bitwiseAND(F.lit(65535)) == 0 for i in range(no)]
         earlier = earlier.when(F.col("no") == no, reduce(Column.__or__, shared))
-    return both.filter(~earlier).select("a", "b")
+    return ~earlier
 
 
-def candidate_pairs(own: DataFrame, overlap: float, hot: int) -> DataFrame:
-    """(id, other) of (id, sig, title) that share a band and can be within 3 bits or `overlap` in title: all pairs of a band up to `hot` titles.
+def met_pairs(own: DataFrame, overlap: float, hot: int, near: Column | None = None) -> DataFrame:
+    """Structs a and b of rows (id, sig, title and more) that share a band and can be within 3 bits or `overlap` in title: all pairs of a band up to `hot` titles.
 
     In a band of more, where all pairs would be a square, a second key decides: what is within 3 bits elsewhere has one of four twelfths of the 48 other
     bits alike, and what overlaps by that share has one of its rarest words in common (of n words all but overlap * n, and one more). So
-    no pair that counts is lost, however large the band is.
+    no pair that counts is lost, however large the band is. A pair comes once, in the first band and by the first key that it shares, and only if it
+    is `near`, a condition on a and b: rows are shuffled for their bands and keys, pairs never.
     """
-    banded = own.select("id", "sig", F.posexplode(bands(F.col("sig"))).alias("no", "band"))
-    crowded = banded.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("band")
-    cool = banded.join(crowded, "band", "left_anti").select("band", "id")
-    pairs = cool.join(cool.withColumnRenamed("id", "other"), "band").filter("id < other").select("id", "other")
+    banded = own.select(F.struct(*own.columns).alias("s"), F.posexplode(bands(F.col("sig"))).alias("no", "band"))
+    crowded = F.broadcast(own.select(F.explode(bands(F.col("sig"))).alias("band")).groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("band"))  # of 4 * 65,536 bands
+    near = (F.col("a.id") < F.col("b.id")) & _first_shared() & (F.lit(True) if near is None else near)
+    cool = banded.join(crowded, "band", "left_anti")
+    pairs = cool.select(F.col("s").alias("a"), "no", "band").join(cool.select(F.col("s").alias("b"), "band"), "band").filter(near).select("a", "b")
     full = banded.join(crowded, "band", "left_semi")
-    rest = F.expr("CASE WHEN no = 0 THEN shiftrightunsigned(sig, 16) WHEN no = 3 THEN sig & 281474976710655 ELSE shiftrightunsigned(sig, 16 * (no + 1)) | shiftleft(sig & (shiftleft(1L, 16 * no) - 1), 48 - 16 * no) END")
-    pieces = full.withColumn("rest", rest).select("band", "id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.concat(F.lit("#"), k.cast("string"), F.lit(" "), F.call_function("shiftrightunsigned", F.col("rest"), 12 * k).bitwiseAND(F.lit(4095)).cast("string")))).alias("key"))
-    said = full.select("id").distinct().join(own.select("id", F.explode(tokens(F.col("title"), 2)).alias("word")), "id")
+    rest = F.expr("CASE WHEN no = 0 THEN shiftrightunsigned(s.sig, 16) WHEN no = 3 THEN s.sig & 281474976710655 ELSE shiftrightunsigned(s.sig, 16 * (no + 1)) | shiftleft(s.sig & (shiftleft(1L, 16 * no) - 1), 48 - 16 * no) END")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.concat(F.lit("#"), k.cast("string"), F.lit(" "), F.call_function("shiftrightunsigned", F.col("rest"), 12 * k).bitwiseAND(F.lit(4095)).cast("string")))
+    said = full.select("s.id").distinct().join(own.select("id", F.explode(tokens(F.col("title"), 2)).alias("word")), "id")
     common = said.groupBy("word").agg(F.count("*").alias("n"))
     rare = said.join(common, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
-    rare = rare.select("id", F.explode(F.slice("w", F.lit(1), (F.size("w") - F.ceil(F.lit(overlap) * F.size("w")) + 1).cast("int"))["word"]).alias("key"))
-    keyed = pieces.unionByName(full.select("band", "id").join(rare, "id"))
-    return pairs.unionByName(keyed.join(keyed.withColumnRenamed("id", "other"), ["band", "key"]).filter("id < other").select("id", "other")).distinct()
+    rare = rare.select("id", F.slice("w", F.lit(1), (F.size("w") - F.ceil(F.lit(overlap) * F.size("w")) + 1).cast("int"))["word"].alias("rare"))
+    full = full.withColumns({"rest": rest, "id": F.col("s.id")}).join(rare, "id", "left").select("s", "no", "band", F.concat(pieces, F.coalesce("rare", F.array().cast("array<string>"))).alias("keys"))
+    keyed = lambda name, *columns: full.select(F.struct("s.*", "keys").alias(name), *columns, "band", F.explode("keys").alias("key"))
+    first_key = F.get(F.array_intersect("a.keys", "b.keys"), F.lit(0)) == F.col("key")  # pieces and words have one order in all rows
+    met = keyed("a", "no").join(keyed("b"), ["band", "key"]).filter(near).filter(first_key)
+    return pairs.unionByName(met.select(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in own.columns]).alias(x) for x in "ab"]))
+
+
+def candidate_pairs(own: DataFrame, overlap: float, hot: int) -> DataFrame:
+    """(id, other) of the pairs that `met_pairs` looks at."""
+    return met_pairs(own, overlap, hot).select("a.id", F.col("b.id").alias("other"))
 
 
 def near_pairs(stories: DataFrame, merge: int = 3, maybe: int = 16, overlap: float = 0.25, hot: int = 1024) -> DataFrame:
@@ -83,17 +98,14 @@ def near_pairs(stories: DataFrame, merge: int = 3, maybe: int = 16, overlap: flo
 
     Candidates share a band and differ in source; stories of one source with equal signature and title are one candidate, the
     first of them. `first_stories` leads from every story to its candidate, so that each has its outcomes without a row for each pair of copies.
-    Titles travel only for pairs whose signatures are near. `merge` is at most 3, which four bands cover.
+    Pairs are judged where their rows meet. `merge` is at most 3, which four bands cover.
     """
     path = f"{shared_folder(stories.sparkSession, 'near-titles')}/own"  # written, as signatures are costly and read several times
     stories.groupBy("sig", "source", "title").agg(F.min("id").alias("id")).write.parquet(path)
     own = stories.sparkSession.read.parquet(path)
-    side = lambda name, *columns: own.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
-    pairs = candidate_pairs(own.select("id", "sig", "title"), overlap, hot).select(F.col("id").alias("a"), F.col("other").alias("b"))
-    pairs = pairs.join(side("a", "sig", "source"), "a").join(side("b", "sig", "source"), "b").filter("a_source <> b_source")
-    pairs = pairs.withColumn("distance", F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig")))).filter(F.col("distance") <= max(merge, maybe))
-    pairs = pairs.select("a", "b", "distance").join(side("a", "title"), "a").join(side("b", "title"), "b")
-    pairs = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "distance", title_overlap(F.col("a_title"), F.col("b_title")).alias("overlap"))
+    distance = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig")))
+    pairs = met_pairs(own, overlap, hot, (F.col("a.source") != F.col("b.source")) & (distance <= max(merge, maybe)))
+    pairs = pairs.select("a.id", F.col("b.id").alias("other"), distance.alias("distance"), title_overlap(F.col("a.title"), F.col("b.title")).alias("overlap"))
     outcome = F.when(F.col("distance") <= merge, "auto").when((F.col("distance") > maybe) | (F.col("overlap") < overlap), "reject").when(F.col("overlap") >= 0.6, "title").otherwise("ambiguous")
     return pairs.withColumn("outcome", outcome).filter("outcome <> 'reject'")
 
