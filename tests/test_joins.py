@@ -17,3 +17,13 @@ def test_wanted(spark):
     assert len(got) == len(set(got)) and set(got) == by_tag | by_word and by_word - by_tag
     top = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in top.split("Join")[0]
+
+
+def test_wanted_comes_in_runs(spark, tmp_path):
+    """The result has more rows than anything that it is made of: an account comes with the same stories as the one before, so that files of it stay small."""
+    stories = spark.range(0, 9000, 3).selectExpr("id", "'a title' AS title", "array(concat('t', hash(id) % 4), concat('t', hash(-id) % 4), concat('u', id)) AS tags")
+    tags = spark.range(0, 40000, 20).selectExpr("id AS account", "explode(array(concat('t', hash(id, 1) % 4), concat('t', hash(id, 2) % 4), concat('v', hash(id, 3) % 16))) AS tag")
+    joins.wanted(stories, tags, tags.selectExpr("account", "'nowhere' AS word")).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    n, size = pairs.count(), sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert n == pairs.distinct().count() > 1_000_000 and size < 0.6 * n
