@@ -29,6 +29,17 @@ def test_diversify(spark):
     assert evaluation.diversify(df.limit(0), "field", ["less", "id"]).count() == 0
 
 
+def test_diversify_in_rounds(spark, monkeypatch):
+    """A choice that has to look far: the first rows are of full sources, full subjects and releases, and no step holds more of a group than a round's rows."""
+    monkeypatch.setattr(evaluation, "CHUNK", 5)
+    tags = lambda i: [] if i % 6 == 0 else ["a", "b"] if i < 60 else [f"t{i % 13}", f"t{i // 7 % 5}", "c"][: 1 + i % 3]
+    rows = [(i, None if i % 10 == 0 else i // 40 % 12, "release" if i < 90 or i % 4 == 0 else "launch", tags(i), i // 3) for i in range(240)]
+    df = spark.createDataFrame([(f, *r) for f in ("f", None) for r in (rows if f else rows[:17])], "field string, id int, source int, kind string, tags array<string>, less int")
+    got = evaluation.diversify(df, "field", ["less", "id"]).orderBy("field", "place").collect()
+    assert [r.id for r in got if r.field] == brute_corpus(rows) and [r.id for r in got if not r.field] == brute_corpus(rows[:17])
+    assert [r.id for r in evaluation.diversify(df.filter("field = 'f'"), "field", ["less", "id"], releases=0).orderBy("place").collect()] == brute_corpus(rows, releases=0)
+
+
 def test_judgements(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (None, "d")], "k int, prompt string")
     cache = spark.createDataFrame([(2, "known")], "k int, answer string")

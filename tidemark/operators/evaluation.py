@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores
+from tidemark.operators.tables import shared_folder
 from tidemark.operators.tallies import share
 
 
@@ -51,25 +53,34 @@ def audit_verdict(refused: Column, judged: Column, technical: Column, listed_hos
     return F.when(listed_host, "host").when(judged < least, "unknown").when(refused / judged >= most_refused, "off_beat").when(technical / judged < 0.5, "thin").otherwise("fine")
 
 
+#: Rows of a group that the greedy choice looks at in a round; Spark keeps the first so many of each partition before it shuffles, up to 1,000.
+CHUNK = 1000
+
+
 def diversify(rows: DataFrame, group: str, order: list[str], ignored: list[str] | None = None, per_source: int = 4, per_subject: int = 3, releases: int = 8, most: int = 40) -> DataFrame:
-    """The rows (group, id, source, kind, tags, ...) that a briefing reads: greedily in `order` (columns, ascending), at most so many of a source, of releases and in all; a row
+    """The rows (group, id, source, kind, tags, ...) that a briefing reads: greedily in `order` (columns, ascending, nulls last), at most so many of a source, of releases and in all; a row
     goes if each of its subjects has its share already, or one has twice its share. Rows without a subject share one.
 
-    Greedy choice depends on order, so it runs group by group; before, each group keeps only the first `per_source` rows of a source and kind of subject set that could still be
-    taken: a source's rows with equal tags and kind beyond its cap can never be.
+    Greedy choice depends on order, so it runs group by group, but never on a whole group: a round takes the first `CHUNK` rows that can still be taken, and
+    what has been taken decides which of the later rows can. The first of those always is, so there are `most` rounds at most, and mostly one.
     """
-    keys = ["source", "kind", "tags"]
-    within = Window.partitionBy(group, *keys).orderBy(*order)
-    some = rows.withColumn("_n", F.row_number().over(within)).filter(F.col("_n") <= per_source).drop("_n")
-    skip = set(ignored or [])
-    columns = some.columns
+    spark, columns, skip = rows.sparkSession, rows.columns, set(ignored or [])
+    path = shared_folder(spark, "diversified")
+    places = [c for o in order for c in (F.col(o).isNull(), F.col(o))]
+    none = F.array().cast("array<string>")
+    named = F.filter(F.coalesce("tags", none), lambda t: ~F.coalesce(t.isin(*skip), F.lit(False))) if skip else F.coalesce("tags", none)
+    named = F.when(F.size(named) == 0, F.array(F.lit(""))).otherwise(F.transform(named, lambda t: F.coalesce(F.concat(F.lit("="), t), F.lit(""))))
+    release = F.coalesce(F.col("kind") == "release", F.lit(False))
+    seen_often = lambda many, n: F.filter(F.array_distinct(many), lambda x: F.size(F.filter(many, lambda y: x.eqNullSafe(y))) >= n)
 
     def pick(frame):
-        frame = frame.sort_values(order, kind="stable")
+        before, rest = frame[frame["place"].notna()].sort_values("place"), frame[frame["place"].isna()].sort_values(order, kind="stable")
+        frame = pd.concat([before, rest]) if len(before) else rest
         of_source, of_subject, n_releases, taken = {}, {}, 0, []
         for i, (source, kind, tags) in enumerate(zip(frame["source"], frame["kind"], frame["tags"], strict=True)):
             if len(taken) >= most:
                 break
+            source = None if pd.isna(source) else source
             subjects = [t for t in (tags if tags is not None else []) if t not in skip] or [None]
             counts = [of_subject.get(s, 0) for s in subjects]
             full = of_source.get(source, 0) >= per_source or (kind == "release" and n_releases >= releases)
@@ -78,12 +89,32 @@ def diversify(rows: DataFrame, group: str, order: list[str], ignored: list[str]
             taken.append(i)
             n_releases += kind == "release"
             of_source[source] = of_source.get(source, 0) + 1
-            of_subject |= {s: of_subject.get(s, 0) + 1 for s in subjects}
+            for s in subjects:
+                of_subject[s] = of_subject.get(s, 0) + 1
         out = frame.iloc[taken].copy()
         out["place"] = range(1, len(out) + 1)
         return out
 
-    return some.groupBy(group).applyInPandas(pick, some.select(*columns).schema.add("place", "long"))
+    def written(name, part):
+        part.write.parquet(f"{path}/{name}")
+        return spark.read.schema(part.schema).parquet(f"{path}/{name}")
+
+    left = rows.filter(F.lit(min(per_source, per_subject, most) > 0) & (~release | F.lit(releases > 0)))
+    taken, k = None, 0
+    while True:
+        first = left.withColumn("_r", F.rank().over(Window.partitionBy(group).orderBy(*places))).filter(F.col("_r") <= CHUNK)
+        chunk = written(f"chunk-{k}", first.select(*columns, F.lit(None).cast("long").alias("place")))
+        both = chunk.unionByName(taken) if taken else chunk
+        taken = written(f"taken-{k}", both.groupBy(group).applyInPandas(pick, both.schema))
+        looked = chunk.groupBy(group).agg(F.max(F.struct(*[c.alias(f"p{i}") for i, c in enumerate(places)])).alias("_last"), F.count("*").alias("_n")).filter(F.col("_n") >= CHUNK)
+        held = taken.groupBy(group).agg(F.count("*").alias("_taken"), F.count_if(release).alias("_releases"), F.collect_list(F.struct("source")).alias("_sources"), F.flatten(F.collect_list(named)).alias("_subjects")).filter(F.col("_taken") < most)
+        held = held.select(F.col(group).alias("_group"), "_releases", seen_often(F.col("_sources"), per_source).alias("_sources"), seen_often(F.col("_subjects"), per_subject).alias("_full"), seen_often(F.col("_subjects"), 2 * per_subject).alias("_over"))
+        state = written(f"state-{k}", held.join(looked.withColumnRenamed(group, "_same"), F.col("_group").eqNullSafe(F.col("_same"))).drop("_same", "_n"))
+        if state.isEmpty():
+            return taken.select(*columns, "place")
+        open_ = rows.join(state, F.col(group).eqNullSafe(F.col("_group"))).filter(F.struct(*[c.alias(f"p{i}") for i, c in enumerate(places)]) > F.col("_last"))
+        open_ = open_.filter(~F.array_contains("_sources", F.struct("source")) & (~release | (F.col("_releases") < releases)))
+        left, k = open_.filter((F.size(F.array_except(named, "_full")) > 0) & ~F.arrays_overlap(named, "_over")).select(*columns), k + 1
 
 
 def item_reason(link: Column, title: Column, media: Column, blocked: Column, lang: Column, long_enough: Column, allowed: list[str]) -> Column:
