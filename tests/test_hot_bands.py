@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators import dedup
 
 
@@ -64,3 +65,25 @@ def test_pairs_are_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     moved = set(re.findall(r"hashpartitioning\((\w+)#", plan))
     assert "band" in moved and moved <= {"band", "id", "word"} and not re.search(r"hashpartitioning\(id#\w+, [a-z]", plan)
+
+
+def test_titles_are_taken_apart_once(spark):
+    """Pairs are judged by words that each title gave before: what is reckoned for a pair has no title and no pattern."""
+    df = spark.createDataFrame([(i, s, t, signed(h)) for i, s, t, h in titles(3, 300)], "id long, source string, title string, sig long")
+    plan = dedup.near_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "title#" not in plan
+
+
+def test_signatures_of_few_and_many_features(spark):
+    """Counts in bytes and counts one by one are the same signature, on both sides of 128 features."""
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choices([f"w{i}" for i in range(90)], k=k)),) for k in (1, 2, 12, 41, 42, 43, 44, 60, 200)]
+    got = spark.createDataFrame(rows, "t string").select("t", dedup.simhash(F.col("t")).alias("sig"), F.transform(text.features(F.col("t")), lambda x: F.xxhash64(x)).alias("h")).collect()
+    assert {len(r.h) < 128 for r in got} == {True, False}
+    assert all(r.sig == signed(sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in r.h) > len(r.h))) for r in got)
+
+
+def test_first_words_of_a_head(spark):
+    odd = ["", "  ", "ΑΣ'Α ΒΣ b c d e f g h i j ΑΣ'Α x y", "a b c d e f g h i j k ΑΣ. ", "a b c d e f g h i j k ΑΣ'ΑΣ q", "İstanbul İİ a b c d e f g h i j k l m", "...one", "x" * 30000 + " y", "日本 " * 20, "1 2 3\n4\t5 6 7 8 9 10 11 12 13", None]
+    whole = F.array_join(F.slice(F.split(text.compare_form(F.col("t")), " "), 1, 12), " ")
+    assert all(r.a == r.b for r in spark.createDataFrame([(t,) for t in odd], "t string").select(whole.alias("a"), text.first_words(F.col("t"), 12).alias("b")).collect())

@@ -136,12 +136,23 @@ def runs(units: Column, size: int, between: str) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).when(n < size, F.array(F.array_join(units, " "))).otherwise(each)
 
 
+def held(value: Column, use) -> Column:
+    """`use` of a value that is reckoned once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def features(text: Column) -> Column:
     """What a text is about, with repeats for weight: its words twice and its word pairs once; the character pairs of a CJK text."""
-    form = compare_form(text)
-    words = F.filter(F.split(form, " "), lambda w: w != "")
-    letters = F.filter(F.split(F.regexp_replace(form, r"\s+", ""), ""), lambda c: c != "")
-    return F.when(is_cjk(form), runs(letters, 2, "")).otherwise(F.concat(words, words, runs(words, 2, " ")))
+    letters = lambda form: F.filter(F.split(F.regexp_replace(form, r"\s+", ""), ""), lambda c: c != "")
+    words = lambda form: F.filter(F.split(form, " "), lambda w: w != "")
+    weighed = lambda form: held(words(form), lambda w: F.concat(w, w, runs(w, 2, " ")))
+    return held(compare_form(text), lambda form: F.when(is_cjk(form), held(letters(form), lambda c: runs(c, 2, ""))).otherwise(weighed(form)))
+
+
+def first_words(text: Column, n: int) -> Column:
+    """The first words of the comparable form. A text is only taken apart up to the word after them, on which the small form of a last letter may depend."""
+    head = F.regexp_extract(text, rf"^[^\p{{L}}\p{{N}}]*+(?:[\p{{L}}\p{{N}}]++[^\p{{L}}\p{{N}}]++){{0,{n}}}+[\p{{L}}\p{{N}}]*+", 0)
+    return F.array_join(F.slice(F.split(compare_form(head), " "), 1, n), " ")
 
 
 def fnv1a64(text: Column) -> Column:

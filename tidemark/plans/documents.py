@@ -45,7 +45,7 @@ def q30_user_matches(spark, d):
 
 def _titled(spark, d):
     """Documents as stories, a minute apart within 50 hours of which a run takes the last 48; a title is a document's first twelve words."""
-    title = F.array_join(F.slice(F.split(text.compare_form(F.coalesce("text", F.lit(""))), " "), 1, 12), " ")
+    title = text.first_words(F.coalesce("text", F.lit("")), 12)
     at = F.lit("2024-01-03").cast("timestamp_ntz") - F.make_interval(mins=(F.col("doc_id") % 3000).cast("int"))
     rows = dedup.recent(_t(spark, d, "documents").withColumn("at", at), "at", "2024-01-03", 48)
     stories = rows.select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("source"), title.alias("title")).filter("title <> ''")
